@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, mixing, packing, secrets, simhash, topk
 
 QUERIES = {
+    "op1_exact_topk": topk.op1_exact_topk,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_chat_format": chat.op5_chat_format,
+    "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_packing": packing.op9_packing,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLES = {
+    "op1_exact_topk": topk.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
