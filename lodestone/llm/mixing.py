@@ -27,7 +27,7 @@ MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 42
 #: Rows that one bucket of a source's seeded order holds on average, at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
