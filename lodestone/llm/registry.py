@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, secrets, simhash, topk
+from . import chat, exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_secret_scan": secrets.op10_secret_scan,
