@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One run of the white space that every operator here folds or splits on.
@@ -36,13 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_rows(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def text_rows(df: DataFrame, id_col: str, text_col: str, *more: Column, row_col: str | None = None) -> DataFrame:
     """(row, doc_id, text, *more): one row each, null text as empty.
 
-    ``row`` tells rows with the same id apart; callers fix it with ``keep``.
+    ``row`` tells rows with the same id apart: the column ``row_col``, if rows are
+    numbered already, else a new number, which callers fix with ``keep``.
     """
     return df.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *more,

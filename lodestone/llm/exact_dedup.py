@@ -50,13 +50,13 @@ def _block_names(docs: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
         salt += 1
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, row_col: str | None = None) -> DataFrame:
     """One row per row of ``df``: row, doc_id, text_sha256, level, name.
 
     (level, name) is the identity: equal for equal normalised texts only.
     """
     norm = F.regexp_replace("text", common.SPACE_RUN, " ")
-    docs = common.text_rows(df, id_col, text_col).select("row", "doc_id", norm.alias("norm"))
+    docs = common.text_rows(df, id_col, text_col, row_col=row_col).select("row", "doc_id", norm.alias("norm"))
     names, salt = _block_names(docs, block_chars)
     keyed = docs.select(
         "row", "doc_id", F.sha2(F.col("norm"), 256).alias("text_sha256"),
@@ -85,9 +85,9 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     return keyed.select("row", "doc_id", "text_sha256").join(identity, "row")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, row_col: str | None = None) -> DataFrame:
     """Membership of every row: row, doc_id, keep_id, group_size, kept, text_sha256."""
-    named = common.keep(identify(df, id_col, text_col, block_chars), "identity")
+    named = common.keep(identify(df, id_col, text_col, block_chars, row_col), "identity")
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
     groups = named.groupBy("level", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
     return named.join(groups, ["level", "name"]).select(

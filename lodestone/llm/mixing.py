@@ -50,11 +50,12 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+        row_col: str | None = None) -> DataFrame:
     """One row per row of ``df``: row, doc_id, size, source_size, target, copies, taken."""
     size = F.regexp_count("text", F.lit(common.WORD)).cast("long")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = common.text_rows(df, id_col, text_col, F.col(source_col).alias("source")).select(
+    docs = common.text_rows(df, id_col, text_col, F.col(source_col).alias("source"), row_col=row_col).select(
         "row", "doc_id", "source", size.alias("size"), order.alias("seeded"))
     docs = common.keep(docs, "mix-sizes")
 

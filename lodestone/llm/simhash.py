@@ -69,7 +69,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED,
+                 row_col: str | None = None) -> DataFrame:
     """(row, doc_id, fp): fp holds the 64 bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +78,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [fingerprint(shingle_hashes(t.as_py(), width, seed)) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(np.array(found, np.uint64).view(np.int64))], ["row", "doc_id", "fp"])
 
-    return common.text_rows(df, id_col, text_col).mapInArrow(each, "row long, doc_id long, fp long")
+    return common.text_rows(df, id_col, text_col, row_col=row_col).mapInArrow(each, "row long, doc_id long, fp long")
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,9 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED,
-                radius: int = RADIUS) -> DataFrame:
+                radius: int = RADIUS, row_col: str | None = None) -> DataFrame:
     """One row per row of ``df``: row, doc_id, fp, component_id (least id), first (row that stays)."""
-    docs = common.keep(fingerprints(df, id_col, text_col, width, seed), "fingerprints")
+    docs = common.keep(fingerprints(df, id_col, text_col, width, seed, row_col), "fingerprints")
     distinct = common.keep(docs.select("fp").distinct(), "distinct-fp")
     roots = common.keep(components(links(distinct, radius)), "fp-roots")
     docs = docs.join(roots, docs["fp"] == roots["node"], "left").select("row", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
