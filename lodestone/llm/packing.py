@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,15 @@ from . import common
 WINDOW = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces of text whose ids a worker remembers, at most.
-MEMORY = 200_000
+#: Parts, and pieces of parts, whose ids a worker remembers; it then starts afresh.
+MEMORY = 700_000
 #: White space where cutting before a space would change the tokens.
 UNCUTTABLE = re.compile(r"\s (?:\s|$)")
+#: Parts of letters that every Unicode version counts as such, digits, ASCII marks and
+#: line ends, and how the pre-tokenizer's published pattern cuts them.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
+PLAIN = re.compile(rf"(?!\n)[{LETTER}!-~\n]+")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^ \n0-9{LETTER}]+|\n+(?!.)|\n+")
 #: Second parts tried for each first part of a triple.
 TRIPLES = 8
 SWEEPS = 30
@@ -46,9 +52,10 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer always cuts before a single space that precedes
-    other characters, so ids of space-led parts are remembered, and each part that
-    is new goes through the tokenizer once.  Texts with special tokens or with
-    runs of white space that end in a space go through it whole.
+    other characters, so the ids of space-led parts are remembered.  A new part of
+    plain characters is cut as the pre-tokenizer does, and each of its pieces goes
+    through the tokenizer once; any other new part goes through it whole.  So do
+    texts with special tokens or with runs of white space that end in a space.
     """
 
     def __init__(self, path: str):
@@ -58,34 +65,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, known: dict[str, bytes], new: list[str], led: str) -> None:
+        found = self.tokenizer.encode_batch_fast([led + p for p in new], add_special_tokens=False)
+        known.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(new, found, strict=True))
+
+    def _learn_parts(self, new: set[str]) -> None:
+        cut = {p: PIECES.findall(" " + p) for p in new if PLAIN.fullmatch(p)}
+        pieces = {x for own in cut.values() for x in own}
+        self._learn(self.pieces, [x for x in pieces if x not in self.pieces], "")
+        get = self.pieces.__getitem__
+        self.parts.update((p, b"".join(map(get, own))) for p, own in cut.items())
+        self._learn(self.parts, [p for p in new if p not in cut], " ")
+
     def encode(self, text: str) -> bytes:
         if UNCUTTABLE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        known = self.parts
-        new = [p for p in set(rest) if p not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(rest))
-            found = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-            known.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(new, found, strict=True))
-        return self.whole(first) + b"".join(map(known.__getitem__, rest))
+        try:
+            return self.whole(first) + b"".join(map(self.parts.__getitem__, rest))
+        except KeyError:
+            if len(self.parts) > MEMORY:
+                self.parts.clear()
+            if len(self.pieces) > MEMORY:
+                self.pieces.clear()
+            self._learn_parts({p for p in rest if p not in self.parts})
+            return self.whole(first) + b"".join(map(self.parts.__getitem__, rest))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task with what it remembers."""
+    return Encoder(path)
 
 
 def tokenize(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, window: int, end_id: int) -> DataFrame:
     """(row, doc_id, n, full_crcs, rest_crc, rest_ids) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {"n": [], "full_crcs": [], "rest_crc": [], "rest_ids": []}
             for text in b["text"]:
-                ids = encoder.encode(text.as_py()) + end
+                ids = own.encode(text.as_py()) + end
                 n, view = len(ids) // 4, memoryview(ids)
                 cut = n // window * window * 4
                 out["n"].append(n)
