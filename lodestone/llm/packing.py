@@ -21,6 +21,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from . import common
 WINDOW = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts, and pieces of parts, whose ids a worker remembers; it then starts afresh.
+#: Parts, and pieces of parts, whose ids a worker remembers: the first it meets, so mostly frequent ones.
 MEMORY = 700_000
 #: White space where cutting before a space would change the tokens.
 UNCUTTABLE = re.compile(r"\s (?:\s|$)")
@@ -70,31 +72,32 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, known: dict[str, bytes], new: list[str], led: str) -> None:
-        found = self.tokenizer.encode_batch_fast([led + p for p in new], add_special_tokens=False)
-        known.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(new, found, strict=True))
+    def _ids(self, texts: list[str], led: str) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast([led + p for p in texts], add_special_tokens=False)
+        return {p: array("I", f.ids).tobytes() for p, f in zip(texts, found, strict=True)}
 
-    def _learn_parts(self, new: set[str]) -> None:
+    def _new_parts(self, new: list[str]) -> dict[str, bytes]:
         cut = {p: PIECES.findall(" " + p) for p in new if PLAIN.fullmatch(p)}
-        pieces = {x for own in cut.values() for x in own}
-        self._learn(self.pieces, [x for x in pieces if x not in self.pieces], "")
-        get = self.pieces.__getitem__
-        self.parts.update((p, b"".join(map(get, own))) for p, own in cut.items())
-        self._learn(self.parts, [p for p in new if p not in cut], " ")
+        fresh = self._ids([x for x in {x for own in cut.values() for x in own} if x not in self.pieces], "")
+        if len(self.pieces) < MEMORY:
+            self.pieces.update(fresh)
+        get = ChainMap(fresh, self.pieces).__getitem__ if len(self.pieces) >= MEMORY else self.pieces.__getitem__
+        found = {p: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for p, own in cut.items()}
+        if len(found) < len(new):
+            found |= self._ids([p for p in new if p not in cut], " ")
+        return found
 
     def encode(self, text: str) -> bytes:
         if UNCUTTABLE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        try:
-            return self.whole(first) + b"".join(map(self.parts.__getitem__, rest))
-        except KeyError:
-            if len(self.parts) > MEMORY:
-                self.parts.clear()
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
-            self._learn_parts({p for p in rest if p not in self.parts})
-            return self.whole(first) + b"".join(map(self.parts.__getitem__, rest))
+        ids = list(map(self.parts.get, rest))
+        if None in ids:
+            found = self._new_parts(list({p for p, x in zip(rest, ids, strict=True) if x is None}))
+            if len(self.parts) < MEMORY:
+                self.parts.update(found)
+            ids = [found[p] if x is None else x for p, x in zip(rest, ids, strict=True)]
+        return (self.whole(first) if first else b"") + b"".join(ids)
 
 
 @lru_cache(maxsize=2)
