@@ -1,35 +1,18 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, table readers."""
+"""Shared helpers: table readers, numbered text rows, and ``keep`` for intermediate tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import keep
+
+__all__ = ["SPACE_RUN", "WORD", "keep", "table", "text_rows"]
+
 #: One run of the white space that every operator here folds or splits on.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: One word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the cluster names no shared folder (single-machine tests).
-LOCAL_SCRATCH = "file:///tmp/checkpoints/lodestone"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``, else the test folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This fixes generated ids, cuts lineage and survives the loss of executors:
-    the files belong to no executor.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
