@@ -90,6 +90,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_c
     named = common.keep(identify(df, id_col, text_col, block_chars, row_col), "identity")
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
     groups = named.groupBy("level", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
+    groups = common.keep(groups, "groups")  # a plain table again, so that Spark can split the join at a large group
     return named.join(groups, ["level", "name"]).select(
         "row", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
