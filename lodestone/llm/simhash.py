@@ -239,7 +239,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     roots = common.keep(components(links(distinct, radius)), "fp-roots")
     docs = docs.join(roots, docs["fp"] == roots["node"], "left").select("row", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least")
-    groups = docs.groupBy("root").agg(least)
+    groups = common.keep(docs.groupBy("root").agg(least), "components")  # a plain table, so that the join can be split
     return docs.join(groups, "root").select("row", "doc_id", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first"))
 
 
