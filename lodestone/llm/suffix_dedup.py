@@ -312,7 +312,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     copies = common.keep(copies, "texts")
     single = marked.join(copies.select("sha", "one"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("sha", F.explode("marks").alias("m")).select("sha", "m.*")
     single = common.keep(single.distinct(), "text-anchors")
-    often = single.groupBy("key").count().filter("count > 1").select("key")
+    often = common.keep(single.groupBy("key").count().filter("count > 1").select("key"), "anchor-keys")  # plain, so that the join can be split
     marks = single.join(often, "key").groupBy("sha").agg(F.collect_list(F.struct("key", "pos", "first", "last")).alias("marks"))
     marks = marks.join(copies.select("sha", "one"), "sha").withColumnsRenamed({"sha": "s", "one": "o"})
     texts = docs.join(marks, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("o"))).select("sha", "text", "marks")
