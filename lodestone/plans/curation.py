@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import language, minhash, url
 from lodestone.functions import text as tx
 from lodestone.functions import textquality as tq
-from lodestone.operators import detect, duplicates, lifecycle, policy, search, triage
+from lodestone.operators import detect, duplicates, lifecycle, policy, search, stores, triage
 from lodestone.operators import listing as ls
 from lodestone.operators import vectors as vec
 
@@ -716,3 +716,43 @@ def calibration(spark, d):
 def f16_roundtrip(spark, d):
     v = m.vectors(spark, d).withColumn("back", vec.f16_unpack(vec.f16_pack(F.col("vector"))))
     return v.select("id", F.forall(F.arrays_zip("vector", "back"), lambda p: F.abs(p["vector"] - p["back"]) <= 0.001).alias("near"))
+
+
+# --- owned tables ---------------------------------------------------------------------------------------------------
+
+@query("provider_stats", "SELECT lang AS provider, count(*) AS models, count(*) FILTER (doc_id % 2 = 0) AS probed, count(*) FILTER (doc_id % 4 = 0) AS usable FROM documents GROUP BY 1", bare=True)
+def provider_stats(spark, d):
+    docs = m.table(spark, d, "documents")
+    return stores.provider_stats(docs.select(F.col("lang").alias("provider"), (F.col("doc_id") % 2 == 0).alias("probed"), (F.col("doc_id") % 4 == 0).alias("usable")))
+
+
+@query("model_roles", "SELECT id AS model, CASE WHEN doc_id % 6 = 0 THEN 'bulk,quality' WHEN doc_id % 2 = 0 THEN 'bulk' WHEN doc_id % 3 = 0 THEN 'quality' ELSE '' END AS roles FROM document")
+def model_roles(spark, d):
+    docs, n = m.documents(spark, d), F.col("doc_id")
+    assigned = docs.select(F.col("id").alias("model"), F.explode(F.array_compact(F.array(F.when(n % 3 == 0, "quality"), F.when(n % 2 == 0, "bulk")))).alias("role"))
+    return stores.roles(docs.select(F.col("id").alias("model")), assigned).withColumn("roles", F.array_join("roles", ","))
+
+
+@query("replace_models", "SELECT model, probed FROM (SELECT id AS model, doc_id % 2 = 0 AS probed FROM document WHERE lang <> 'en' UNION ALL SELECT id, CASE WHEN doc_id % 3 = 1 THEN false ELSE doc_id % 2 = 0 END FROM document WHERE lang = 'en' AND doc_id % 3 <> 0)")
+def replace_models(spark, d):
+    docs, n = m.documents(spark, d), F.col("doc_id")
+    stored = docs.filter((F.col("lang") != "en") | (n % 3 != 1)).select(F.col("id").alias("model"), F.col("lang").alias("provider"), (n % 2 == 0).alias("probed"), (n % 2 == 0).alias("usable"))
+    return stores.replace_models(stored, docs.filter((F.col("lang") == "en") & (n % 3 != 0)).select(F.col("id").alias("model")), "en").select("model", "probed")
+
+
+@query("retry_queue_enqueue", "SELECT id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS attempts FROM document WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def retry_enqueue(spark, d):
+    docs = m.documents(spark, d)
+    queue = docs.filter("doc_id % 3 = 0").select(F.col("id").alias("document_id"), F.col("last_modified").alias("queued_at"), F.lit(2).alias("attempts"))
+    return stores.enqueue(queue, docs.filter("doc_id % 2 = 0").select(F.col("id").alias("document_id")), m.NOW).select("document_id", "attempts")
+
+
+@query("cluster_evidence", "SELECT content_hash AS group_key, string_agg(CASE WHEN r = 1 THEN 'keeper: ' ELSE 'copy: ' END || semantic_id, chr(10) ORDER BY r) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY k DESC, id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY strlen(id), id) = 1 AS k, count(*) OVER (PARTITION BY content_hash) AS n FROM document) WHERE n > 1) WHERE r <= 12 GROUP BY 1")
+def cluster_evidence(spark, d):
+    docs = ls.effective_recency(m.documents(spark, d))
+    return stores.cluster_evidence(duplicates.groups(docs, "content_hash", "hash"), docs.select(F.col("id").alias("document_id"), F.col("semantic_id").alias("title")))
+
+
+@query("annotation_counts", "SELECT event_type AS subject_kind, count(DISTINCT user_id) AS subjects, count(*) AS generations FROM events GROUP BY 1", bare=True)
+def annotation_counts(spark, d):
+    return stores.annotation_counts(m.table(spark, d, "events").select(F.col("event_type").alias("subject_kind"), F.col("user_id").alias("subject_key")))
