@@ -66,3 +66,41 @@ def test_parked_and_sinks(spark, tmp_path):
     events = list(sinks.event_stream(df.select("id")))
     assert events[-1].startswith("event: done") and '"total_matched": 2' in events[-1]
     assert sinks.append_audit(df, f"{tmp_path}/audit")
+
+
+def test_near_pairs_of_copies_and_near_copies(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(500)]
+    base = [" ".join(rng.choices(words, k=200)) for _ in range(10)]
+    rows = [(f"d{i}", i, t) for i, t in enumerate(base)] + [(f"e{i}", 1, t) for i, t in enumerate(base)] + [(f"f{i}", 2, t + " tail") for i, t in enumerate(base)] + [("z", 1, "")]
+    signed = duplicates.signatures(spark.createDataFrame(rows, "id string, connector_id int, text string"))
+    pairs = {(r["a"], r["b"]): r["similarity"] for r in duplicates.near_pairs(signed).collect()}
+    for i in range(10):
+        assert pairs[(f"d{i}", f"e{i}")] == 1.0 and pairs[(f"d{i}", f"f{i}")] >= 0.9
+    assert all(a[1:] == b[1:] for a, b in pairs)
+    best = {r["document_id"]: r for r in duplicates.max_similarity(spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a string, b string, similarity double")).collect()}
+    assert best["e3"]["max_jaccard_doc"] == "d3"
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).parent.parent
+    shutil.copytree(repo / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'quality_funnel' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_stores(spark):
+    from lodestone.operators import stores
+
+    runs = spark.createDataFrame([(1, "pending", 0, "2024-01-01", None), (2, "running", 0, "2024-01-02", "x")], "scan_id int, state string, retries int, created_at string, checkpoint string")
+    assert stores.next_run(runs).first()["scan_id"] == 2
+    moved = {r["scan_id"]: r for r in stores.move_run(runs, 1, "running", "page 3").collect()}
+    assert moved[1]["state"] == "running" and moved[1]["checkpoint"] == "page 3" and moved[2]["checkpoint"] == "x"
