@@ -13,6 +13,7 @@ from lodestone.functions import textquality as tq
 from lodestone.operators import detect, duplicates, lifecycle, policy, search, stores, triage
 from lodestone.operators import listing as ls
 from lodestone.operators import vectors as vec
+from lodestone.sources.spread import spread
 
 from . import model as m
 
@@ -102,7 +103,7 @@ SHARES = ("mean_word_length", "symbol_word_ratio", "alpha_word_fraction", "bulle
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    return tq.measure(m.table(spark, d, "documents").select("doc_id", "source", "text"))
+    return tq.measure(spread(m.table(spark, d, "documents").select("doc_id", "source", "text")))
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +222,7 @@ _register_exact("dup_keeper_newest", "newest", "sort_ts IS NULL, -epoch_us(sort_
 
 
 def _signed(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.signatures(m.documents(spark, d, text=True))
+    return duplicates.signatures(spread(m.documents(spark, d, text=True)))
 
 
 @query("shingles_count", r"SELECT id, CASE WHEN n = 0 THEN 0 WHEN n <= 5 THEN 1 ELSE n - 4 END::INT AS n_shingles FROM (SELECT id, len(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '')) AS n FROM document)")
