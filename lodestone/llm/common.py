@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import keep
+from lodestone.sources.spread import spread
 
 __all__ = ["SPACE_RUN", "WORD", "keep", "table", "text_rows"]
 
@@ -16,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_rows(df: DataFrame, id_col: str, text_col: str, *more: Column, row_col: str | None = None) -> DataFrame:
