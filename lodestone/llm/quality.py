@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -120,8 +121,8 @@ class Features:
     def __init__(self):
         self.known: dict[str, tuple[int, int]] = {}
 
-    def of(self, m: dict[str, float]) -> np.ndarray:
-        x = np.zeros(BUCKETS, np.float32)
+    def sparse(self, m: dict[str, float]) -> Iterator[tuple[int, float]]:
+        """(bucket, value) pairs; values of equal buckets add up."""
         words, n = m["_counts"], max(1, m["n"])
         if len(self.known) > 200_000:
             self.known.clear()
@@ -129,13 +130,18 @@ class Features:
             at = self.known.get(w)
             if at is None:
                 at = self.known[w] = (_bucket("w " + w.lower()), _bucket("s " + _shape(w)))
-            x[at[0]] += 0.3 * c / n
-            x[at[1]] += c / n
+            yield at[0], 0.3 * c / n
+            yield at[1], c / n
         for name, value in m.items():
             if name not in ("_counts", "n", "length"):
-                x[_bucket(f"m {name} {min(10, int(10 * value))}")] += 0.5
-        x[_bucket(f"m n {min(12, m['n'].bit_length())}")] += 0.3
-        x[_bucket(f"m length {min(15, int(m['length']))}")] += 0.3
+                yield _bucket(f"m {name} {min(10, int(10 * value))}"), 0.5
+        yield _bucket(f"m n {min(12, m['n'].bit_length())}"), 0.3
+        yield _bucket(f"m length {min(15, int(m['length']))}"), 0.3
+
+    def of(self, m: dict[str, float]) -> np.ndarray:
+        x = np.zeros(BUCKETS, np.float32)
+        for at, value in self.sparse(m):
+            x[at] += value
         return x
 
 
@@ -197,13 +203,13 @@ def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     passed = [f for f in df.schema.fields if f.name not in {n for n, _ in added}]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w = Features(), weights[:-1].astype(np.float32)
+        features, (*w, bias) = Features(), weights.tolist()
         for b in batches:
             weak, p = [], []
             for t in b["_text"]:
                 m = measures(t.as_py())
                 weak.append(posterior.get(votes(m), 0.5))
-                p.append(float(1 / (1 + np.exp(-np.clip(features.of(m) @ w + weights[-1], -500, 500)))))
+                p.append(1 / (1 + exp(-max(-500.0, min(500.0, bias + sum(w[at] * x for at, x in features.sparse(m)))))))
             columns = [b[f.name] for f in passed] + [pa.array(weak), pa.array(p), pa.array([x >= threshold for x in p], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in passed] + [n for n, _ in added])
 
