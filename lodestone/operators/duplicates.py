@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import minhash as mh
@@ -10,7 +10,7 @@ from lodestone.sources.scratch import keep
 
 KEEPERS = ("shortest_url", "longest_content", "most_chunks", "newest")
 STORE_SIMILARITY, REPORT_SIMILARITY = 0.80, 0.90
-#: Documents of a band bucket that are compared with all others of it; beyond, with the first ones.
+#: Documents of a band bucket's part; a larger bucket is cut into parts, and every two of them are compared.
 PAIR_BUCKET = 200
 
 
@@ -55,8 +55,8 @@ def near_pairs(signed: DataFrame, least: float = STORE_SIMILARITY, bucket: int =
     Equal signatures are collapsed to their first document before banding, so copies
     make no pairs among themselves; each copy is paired with that first document
     (similarity 1).  A bucket that still holds more than ``bucket`` distinct
-    signatures is compared with its first ``bucket`` members only, by rank, so its
-    pairs grow with its size and no member is left out.
+    signatures is cut into parts by hash, and each pair of parts is a cell of about
+    ``bucket`` members a side, so all pairs are compared and no task holds a bucket.
     """
     keyed = keep(signed.withColumn("sig_key", F.xxhash64("sig")), "signatures")
     firsts = keyed.groupBy("sig_key", "sig").agg(F.min_by(F.struct("id", "connector_id"), "id").alias("one"), F.first("bands").alias("bands"))
@@ -64,9 +64,13 @@ def near_pairs(signed: DataFrame, least: float = STORE_SIMILARITY, bucket: int =
     same = copies.select(F.col("one.id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), (F.col("one.connector_id") == F.col("connector_id")).alias("same_connector"))
 
     banded = firsts.select(F.col("one.id").alias("id"), F.posexplode("bands").alias("band", "hash"))
-    ranked = banded.withColumn("rank", F.row_number().over(Window.partitionBy("band", "hash").orderBy("id")))
-    left, right = ranked.alias("l"), ranked.filter(F.col("rank") <= bucket).alias("r")
-    met = left.join(right, ["band", "hash"]).filter("r.rank < l.rank").select(F.col("r.id").alias("a"), F.col("l.id").alias("b")).distinct()
+    sizes = banded.groupBy("band", "hash").count().filter("count > 1").select("band", "hash", F.ceil(F.col("count") / bucket).cast("int").alias("parts"))
+    dealt = banded.join(sizes, ["band", "hash"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("low"), F.greatest(o, F.col("part")).alias("high")))
+    dealt = dealt.select("band", "hash", "part", "id", F.explode(cells).alias("cell")).select("band", "hash", "cell.low", "cell.high", "part", "id")
+    left, right = dealt.filter("part = low").alias("l"), dealt.filter("part = high").alias("r")
+    within = (F.col("low") < F.col("high")) | (F.col("l.id") < F.col("r.id"))
+    met = left.join(right, ["band", "hash", "low", "high"]).filter(within).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     sides = firsts.select(F.col("one.id").alias("id"), F.col("one.connector_id").alias("connector_id"), "sig")
     side = lambda n: sides.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"), F.col("connector_id").alias(f"connector_{n}"))
     scored = met.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", mh.estimated_jaccard(F.col("sig_a"), F.col("sig_b")))

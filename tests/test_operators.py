@@ -84,6 +84,15 @@ def test_near_pairs_of_copies_and_near_copies(spark):
     assert best["e3"]["max_jaccard_doc"] == "d3"
 
 
+def test_near_pairs_of_a_large_bucket_are_all_compared(spark):
+    """60 near copies, with parts of at most about 4 and with one part."""
+    words = [f"word{i}" for i in range(300)]
+    rows = [(f"d{i:02d}", 1, " ".join([*words, *[f"tail{i}x{j}" for j in range(12)]])) for i in range(60)]
+    signed = duplicates.signatures(spark.createDataFrame(rows, "id string, connector_id int, text string")).cache()
+    cut, whole = ({(r["a"], r["b"]): r["similarity"] for r in duplicates.near_pairs(signed, bucket=n).collect()} for n in (4, 200))
+    assert cut == whole and len(whole) > 1000 and all(a < b for a, b in whole)
+
+
 def test_entry_without_the_training_operators(tmp_path):
     import shutil
     import subprocess
