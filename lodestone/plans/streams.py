@@ -23,8 +23,8 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    e = ev.source(spark, f"{d}/events.parquet", m.table(spark, d, "events"))
+def _events(spark: SparkSession, d: str, files_per_trigger: int | None = 16) -> DataFrame:
+    e = ev.source(spark, f"{d}/events.parquet", m.table(spark, d, "events"), files_per_trigger)
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -45,10 +45,10 @@ def stream_sessions(spark, d):
 
 @query("stream_dedup", "SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, d):
-    e = _events(spark, d)
+    e = _events(spark, d, None)  # one batch: files need not be in the order of time
     return ev.drain(ev.deduplicated(e.union(e), "event_id"), "append", scratch_dir(spark)).select("event_id")
 
 
 @query("stream_grace_timers")
 def stream_grace(spark, d):
-    return ev.drain(ev.grace_timers(_events(spark, d).filter("event_type = 'error'").select("user_id", "ts"), "user_id", "ts", 24), "append", scratch_dir(spark))
+    return ev.drain(ev.grace_timers(_events(spark, d, None).filter("event_type = 'error'").select("user_id", "ts"), "user_id", "ts", 24), "append", scratch_dir(spark))

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def source(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 16) -> DataFrame:
-    """A file stream of a table (one file or a folder), so many files a micro-batch."""
-    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger)
+def source(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = 16) -> DataFrame:
+    """A file stream of a table (one file or a folder), so many files a micro-batch, or all in one."""
+    reader = spark.readStream.schema(like.schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         folder, _, name = path.rpartition("/")

@@ -113,3 +113,26 @@ def test_stores(spark):
     assert stores.next_run(runs).first()["scan_id"] == 2
     moved = {r["scan_id"]: r for r in stores.move_run(runs, 1, "running", "page 3").collect()}
     assert moved[1]["state"] == "running" and moved[1]["checkpoint"] == "page 3" and moved[2]["checkpoint"] == "x"
+
+
+def test_streams_of_many_files_lose_no_late_rows(spark, tmp_path):
+    """20 files with a day each, the latest day first."""
+    import os
+    import time
+    from datetime import datetime, timedelta
+
+    from lodestone.plans import streams
+
+    where = tmp_path / "events.parquet"
+    where.mkdir()
+    for n in range(20):
+        day = datetime(2024, 1, 30) - timedelta(days=n)
+        rows = [(n * 3 + i, day + timedelta(hours=i), n * 3 + i, "error") for i in range(3)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+        (part,) = (tmp_path / str(n)).glob("part-*.parquet")
+        part.rename(where / f"{n:02d}.parquet")
+        os.utime(where / f"{n:02d}.parquet", (time.time() - 1000 + n,) * 2)
+    assert sorted(r["event_id"] for r in streams.stream_dedup(spark, str(tmp_path)).collect()) == list(range(60))
+    # timers of the last day are not due when the input ends
+    due = {r["user_id"] for r in streams.stream_grace(spark, str(tmp_path)).collect()}
+    assert due >= set(range(6, 60)), sorted(set(range(6, 60)) - due)
