@@ -27,8 +27,8 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    return quality.classify(docs).filter("keep").select(*docs.columns)
+    """Documents that the classifier accepts and that are not toxic."""
+    return quality.classify(docs).filter(F.col("keep") & ~quality.toxic(F.col("text"))).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

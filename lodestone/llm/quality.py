@@ -25,7 +25,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,17 @@ ENDS = tuple(".!?:;\"')…”")
 SYMBOLS = re.compile(r"[#$%&*@^~<>{}\\=+_]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
+#: Words that insult, and phrases that threaten, in the corpus's four languages.
+INSULTS = (
+    "idiots? morons? stupid imbeciles? losers? scum scumbags? trash worthless pathetic disgusting clowns? dumbass(?:es)? asshole?s? bastards? bitch(?:es)? "
+    "fuck\\w* shit shitty retard(?:s|ed)? vermin filth degenerates? "
+    "idiote[ns]? dummkopf abschaum arschloch missgeburt wertlos erbärmlich connards? connasses? salauds? ordures? débiles? crétins? enculés? "
+    "idiotas? imbécil(?:es)? estúpid[oa]s? basura escoria asqueros[oa]s? patétic[oa]s? cabr[oó]n(?:es)? gilipollas").split()
+THREATS = (r"kill yourself", r"(?:i|we)(?: will|'ll| am going to| are going to) (?:kill|hurt|find|beat) (?:you|them|him|her)", r"(?:you|they) (?:deserve to|should|must) die",
+           r"ich bringe dich um", r"je vais te tuer", r"te voy a matar")
+#: Insults in a text that make it toxic; a threat does alone.
+ABUSE = 2
+
 LABELLERS = ("content", "shouting", "separators", "stutter", "variety", "lines", "word_length", "sentences", "dominance", "symbols")
 
 
@@ -218,6 +229,13 @@ def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     return df.select(*[f.name for f in passed], text.alias("_text")).mapInArrow(score, schema)
 
 
+def toxic(text: Column) -> Column:
+    """Whether a text insults ``ABUSE`` times or threatens; null text does not."""
+    text = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    whole = lambda words: r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])"
+    return (F.regexp_count(text, F.lit(whole(INSULTS))) >= ABUSE) | F.regexp_like(text, F.lit(whole(THREATS)))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak posterior, score and decision for every document."""
     return classify(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "p_weak", "p_quality", "keep")

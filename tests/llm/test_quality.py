@@ -35,6 +35,18 @@ def test_accuracy_on_labels(spark):
     assert sum(bad) <= 0.1 * len(bad), (sum(bad), len(bad))
 
 
+def test_toxic_prose_does_not_enter_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    vocab = ["the", "house", "of", "river,", "stone.", "wind", "and", "to", "small", "tree.", "over", "light"] + [f"word{i}" for i in range(300)]
+    prose = lambda: " ".join(rng.choices(vocab, k=150)).capitalize() + ". "
+    rows = [(i, prose()) for i in range(120)] + [(200 + i, "BUY!! NOW!! CHEAP!! " * 60) for i in range(20)]
+    rows += [(300, prose() + "You idiot, what a worthless clown. " + prose()), (301, prose() + "We will find you. " + prose()), (302, prose() + "The clown came to the circus. " + prose())]
+    got = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert set(range(120)) | {302} <= got and not {300, 301} & got
+
+
 def test_edge_rows_pass_through(spark):
     rows = [(1, None, "a", 0.5), (2, "", None, None), (3, "word", "c", 1.0), (3, "word", "c", 1.0), (None, "The house is old. " * 9, "d", 2.0),
             (5, "BUY!! NOW!! " * 200, "e", 0.0), (6, "plain words and more of them here. " * 30000, None, None)]
