@@ -122,7 +122,7 @@ def _bucket(name: str) -> int:
 
 
 def _shape(word: str) -> str:
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:16])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1+", r"\1", kinds)
 
 
@@ -211,13 +211,16 @@ def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
     """``df`` with p_weak (posterior of its votes), p_quality (score) and keep."""
     posterior, weights = fit(df, text_col, sample)
     added = [("p_weak", T.DoubleType()), ("p_quality", T.DoubleType()), ("keep", T.BooleanType())]
-    passed = [f for f in df.schema.fields if f.name not in {n for n, _ in added}]
+    passed = [f for f in df.schema.fields if f.name.lower() not in {n for n, _ in added}]
+    held = "text"
+    while held in {f.name.lower() for f in passed}:
+        held += "_"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, (*w, bias) = Features(), weights.tolist()
         for b in batches:
             weak, p = [], []
-            for t in b["_text"]:
+            for t in b[held]:
                 m = measures(t.as_py())
                 weak.append(posterior.get(votes(m), 0.5))
                 p.append(1 / (1 + exp(-max(-500.0, min(500.0, bias + sum(w[at] * x for at, x in features.sparse(m)))))))
@@ -226,7 +229,7 @@ def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
 
     schema = T.StructType(passed + [T.StructField(n, t) for n, t in added])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(*[f.name for f in passed], text.alias("_text")).mapInArrow(score, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in passed], text.alias(held)).mapInArrow(score, schema)
 
 
 def toxic(text: Column) -> Column:

@@ -3,8 +3,8 @@
 Base kinds are found by pattern, leftmost and non-overlapping per kind, and kept
 when long enough.  The battery looks at every other long token that mixes letters
 and digits: it infers the encoding from the alphabet, and tests the string for
-uniform use of that alphabet (chi-squared), for runs about the alphabet's middle
-and for serial correlation.  The least of the three p-values, times three, says
+uniform use of that alphabet (chi-squared, both too uneven and too even), for runs about
+the alphabet's middle and for serial correlation at distance one and two.  The least of the three p-values, times three, says
 how far the string is from random.  Strings that are not random are rejected with
 false-discovery control (Benjamini-Hochberg) inside classes of length, since short
 strings give the tests less power; what is not rejected is reported as ``random``.
@@ -43,6 +43,7 @@ ALPHABETS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 )
 #: Upper ends (exclusive) of the classes of length.
 LENGTH_CLASSES = (32, 48, 64, 128)
@@ -65,19 +66,19 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
 
 def _upper_tail(z: Column) -> Column:
     """P(N > z), by a logistic approximation that is within 0.0002."""
-    return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070566 * z * z * z)))
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070566 * z * z * z))))
 
 
 def battery(df: DataFrame, value: str = "value") -> DataFrame:
-    """Add encoding, p_chi, p_runs, p_serial and p (combined) for the strings in ``value``.
+    """Add encoding, p_chi, p_runs, p_serial (at distance one and two) and p (combined) for the strings in ``value``.
 
     A string outside every alphabet, null or of fewer than two characters gets nulls.
     """
     text = F.col(value)
-    encoding = reduce(lambda rest, a: F.when(text.rlike(f"^[{a[1]}]+$" if "-" not in a[1] else "^[A-Za-z0-9_-]+$"), F.lit(a[1]))
+    encoding = reduce(lambda rest, a: F.when(text.rlike(f"^[{a[1]}]+$"), F.lit(a[1]))
                       .otherwise(rest), reversed(ALPHABETS), F.lit(None).cast("string"))
     df = df.withColumn("_alphabet", F.when(F.length(text) > 1, encoding))
-    df = df.withColumn("_chars", F.split(text, "")).withColumn("_n", F.length(text).cast("double"))
+    df = df.withColumn("_chars", F.split(text, "")).withColumn("_n", F.when(F.col("_alphabet").isNotNull(), F.length(text)).cast("double"))
     df = df.withColumn("_k", F.length("_alphabet").cast("double"))
     df = df.withColumn("_at", F.transform("_chars", lambda c: F.expr("1.0D") * F.call_function("instr", F.col("_alphabet"), c)))
     n, k = F.col("_n"), F.col("_k")
@@ -90,12 +91,18 @@ def battery(df: DataFrame, value: str = "value") -> DataFrame:
     runs = 1 + F.size(F.filter(pairs, lambda p: p["a"] != p["b"])).cast("double")
     z_runs = (runs - (n + 1) / 2) / F.sqrt((n - 1) / 4)
     centred = F.transform("_at", lambda v: v - (F.col("_k") + 1) / 2)
-    products = F.zip_with(F.slice(centred, F.lit(1), F.size(centred) - 1), F.slice(centred, F.lit(2), F.size(centred) - 1), lambda a, b: a * b)
-    serial = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v) / (n - 1) / ((k * k - 1) / 12)
+
+    def serial(far: int) -> Column:
+        """Correlation with the character ``far`` on, as a normal score."""
+        count = F.greatest(F.size(centred) - far, F.lit(0))
+        products = F.zip_with(F.slice(centred, F.lit(1), count), F.slice(centred, F.lit(1 + far), count), lambda a, b: a * b)
+        return F.when(count > 0, F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v) / F.sqrt(count.cast("double")) / ((k * k - 1) / 12)).otherwise(F.lit(0.0))
+
     names = reduce(lambda rest, a: F.when(F.col("_alphabet") == a[1], F.lit(a[0])).otherwise(rest), ALPHABETS, F.lit(None).cast("string"))
-    df = df.withColumn("encoding", names).withColumn("p_chi", _upper_tail(z_chi))
-    df = df.withColumn("p_runs", 2 * _upper_tail(F.abs(z_runs))).withColumn("p_serial", 2 * _upper_tail(F.abs(serial * F.sqrt(n - 1))))
-    df = df.withColumn("p", F.least(F.lit(1.0), 3 * F.least("p_chi", "p_runs", "p_serial")))
+    df = df.withColumn("encoding", names).withColumn("p_chi", 2 * _upper_tail(F.abs(z_chi)))
+    df = df.withColumn("p_runs", 2 * _upper_tail(F.abs(z_runs)))
+    df = df.withColumn("p_serial", F.when(n.isNotNull(), F.least(F.lit(1.0), 4 * _upper_tail(F.greatest(F.abs(serial(1)), F.abs(serial(2)))))))
+    df = df.withColumn("p", F.when(n.isNotNull(), F.least(F.lit(1.0), 3 * F.least("p_chi", "p_runs", "p_serial"))))
     return df.drop("_alphabet", "_chars", "_n", "_k", "_at")
 
 

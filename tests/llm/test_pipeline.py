@@ -58,3 +58,23 @@ def test_run_and_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
     assert len(corpus_pipeline.STAGES) == 5
     assert all(m for m in (exact_dedup, quality, simhash))
+
+
+def test_columns_of_clashing_names_pass_unchanged(spark):
+    names = ["_text", "Keep", "keep_", "_copies", "copies", "_time", "time", "_pipeline_row", "row", "p_quality", "p_weak", "votes", "_order", "fp", "c0", "size"]
+    rows = [(*r[:2], "en", r[3], *range(i, i + len(names))) for i, r in enumerate(documents())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    own = {r[4]: r for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(tuple(r) == own[r["_text"]] for r in found)
+
+
+def test_a_very_long_text(spark):
+    long = "the house of stone and light " * 60000
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, long, "en", "s"), (3, "a small tree over the river", "en", "t")], "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert {r["doc_id"] for r in stage(spark, docs, "").select("doc_id").collect()} <= {1, 2, 3}, name
+    assert sorted(r["doc_id"] for r in corpus_pipeline.exact_stage(spark, docs, "").collect()) == [1, 3]

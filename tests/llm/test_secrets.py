@@ -48,6 +48,49 @@ def test_random_strings_found_and_regular_ones_left(spark):
     assert all((s["start"], s["end"]) == (4, 44) for i in range(40) for s in got[i])
 
 
+def test_planted_keys_and_patterned_strings(spark):
+    """Of 300 keys in several encodings nearly all are told, of 300 patterned strings nearly none."""
+    import base64
+    import random
+
+    rng = random.Random(9)
+    raw = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    keys = [base64.b64encode(raw(30)).decode() for _ in range(100)] + [base64.urlsafe_b64encode(raw(30)).decode() for _ in range(100)]
+    keys += [base64.b64encode(raw(27)).decode() + "-_" + "".join(rng.choices("abcXYZ0189", k=8)) for _ in range(100)]
+    steps = "abcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["".join(steps[(i + j) % 26] + str((i + j + 1) % 10) for j in range(20)) for i in range(100)]
+    plain += [f"{'item_' * 6}{i:04d}" for i in range(100)] + [f"{'/path/to/some/page/' * 2}{i:05d}x" for i in range(100)]
+    rows = [(i, f"see {k} here") for i, k in enumerate(keys + plain)]
+    got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(bool(got[i]) for i in range(300)) / 300
+    wrong = sum(bool(got[i]) for i in range(300, 600)) / 300
+    assert recall >= 0.9 and wrong <= 0.05, (recall, wrong)
+
+
+def test_battery_against_plain_python(spark):
+    import math
+    import random
+
+    rng = random.Random(10)
+    names = dict(secrets.ALPHABETS)
+    values = ["".join(rng.choices(names[a], k=rng.randint(2, 90))) for a in names for _ in range(5)] + ["x" * 5000, "ab", "a+-b", None, "a", "é" * 30]
+    tail = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.070566 * z**3)))
+    for r in secrets.battery(spark.createDataFrame([(v, 1) for v in values], "value string, n int")).collect():
+        v = r["value"]
+        a = next((x for _, x in secrets.ALPHABETS if v and len(v) > 1 and set(v) <= set(x)), None)
+        if a is None:
+            assert r["p"] is None
+            continue
+        n, k, at = len(v), len(a), [a.index(c) + 1 for c in v]
+        chi = k / n * sum(v.count(c) ** 2 for c in set(v)) - n
+        p_chi = 2 * tail(abs((chi - k + 1) / math.sqrt(2 * (k - 1) * (n - 1) / n)))
+        runs = 1 + sum((x > k / 2) != (y > k / 2) for x, y in zip(at, at[1:]))
+        p_runs = 2 * tail(abs((runs - (n + 1) / 2) / math.sqrt((n - 1) / 4)))
+        z = [abs(sum((at[i] - (k + 1) / 2) * (at[i + d] - (k + 1) / 2) for i in range(n - d))) / math.sqrt(n - d) / ((k * k - 1) / 12) if n > d else 0.0 for d in (1, 2)]
+        want = min(1.0, 3 * min(p_chi, p_runs, min(1.0, 4 * tail(max(z)))))
+        assert math.isclose(r["p"], want, rel_tol=1e-6, abs_tol=1e-290), (v, r, want)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert secrets.op10_secret_scan(spark, str(tmp_path)).collect() == []

@@ -7,11 +7,12 @@ from lodestone.llm import topk
 
 def brute(rows, every=50, k=5):
     ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows
-          if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+          if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for qi, qv in ok:
+    long = lambda x: max(topk.LEAST, min(topk.MOST, x))
+    for at, (qi, qv) in enumerate(ok):
         if qi % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != qi and len(v) == len(qv))
+            scored = sorted((-long(sum(a * b for a, b in zip(qv, v))), i) for n, (i, v) in enumerate(ok) if n != at and len(v) == len(qv))
             out += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -29,6 +30,26 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_ids_empty_and_huge_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i // 2, rng.normal(size=20).tolist()) for i in range(220)] + [(0, [1.0] * 20), (0, [1.0] * 20), (None, [1.0] * 20)]
+    rows += [(300, []), (301, []), (50, []), (400, [3e17] + [1.0] * 19), (401, [-1e300] + [1.0] * 19), (402, [2.0**40] * 20)]
+    spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, row int, query_row int, V int, q_cell int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op1_exact_topk(spark, str(tmp_path)).collect())
+    assert got == brute(rows)
+
+
+def test_most_candidates_are_dropped_early():
+    rng = np.random.default_rng(4)
+    centre = np.repeat(rng.normal(size=(40, 64)), 64, axis=0) * 256
+    m = np.floor(centre + rng.normal(size=centre.shape) * 40)
+    best, ids, shares = np.full((8, 5), np.iinfo(np.int64).min + 1), np.full((8, 5), np.iinfo(np.int64).max), []
+    for at in range(0, len(m), 512):
+        topk.search_block(m[:8], np.arange(8), m[at : at + 512].T, np.arange(at, at + 512), np.arange(at, at + 512), best, ids, 5, shares)
+    assert shares[-1] < 0.2
+    assert (ids < 64).all()
+
+
 def test_grid_and_large_values(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-(2**25), 2**25, 30).tolist()) for i in range(120)]
