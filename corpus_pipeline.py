@@ -2,7 +2,8 @@
 
 ``run`` writes every stage's rows to the shared folder and reads them back, so a
 lost executor repeats one stage's tasks and no more.  Rows are told apart by a
-number that is written with them, so repeated ids and repeated rows are safe.
+number that is written with them, so repeated ids and repeated rows are safe.  Inside
+a stage columns are named by their place, so extra columns of any name pass unchanged.
 """
 
 from __future__ import annotations
@@ -13,47 +14,56 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common, exact_dedup, mixing, packing, quality, simhash
 
-ROW = "_pipeline_row"
+ROW = "row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number that is fixed by writing it."""
-    return common.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by their place, which clash with nothing, and the place of each name."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {c: f"c{i}" for i, c in enumerate(docs.columns)}
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose number is in ``dropped``."""
-    return docs.join(dropped.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``_plain`` with a row number that is fixed by writing it."""
+    rows, at = _plain(docs)
+    return common.keep(rows.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows"), at
+
+
+def _without(docs: DataFrame, rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` under the names of ``docs``, without those whose number is in ``dropped``."""
+    return rows.join(dropped.select(ROW), ROW, "left_anti").drop(ROW).toDF(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts and that are not toxic."""
-    return quality.classify(docs).filter(F.col("keep") & ~quality.toxic(F.col("text"))).select(*docs.columns)
+    rows, at = _plain(docs)
+    found = quality.classify(rows, at["text"])
+    return found.filter(F.col("keep") & ~quality.toxic(F.col(at["text"]))).select(*rows.columns).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    rows = _numbered(docs)
-    return _without(rows, exact_dedup.dedup(rows, row_col=ROW).filter("not kept"))
+    rows, at = _numbered(docs)
+    return _without(docs, rows, exact_dedup.dedup(rows, at["doc_id"], at["text"], row_col=ROW).filter("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    rows = _numbered(docs)
-    return _without(rows, simhash.near_groups(rows, row_col=ROW).filter("row <> first"))
+    rows, at = _numbered(docs)
+    return _without(docs, rows, simhash.near_groups(rows, at["doc_id"], at["text"], row_col=ROW).filter("row <> first"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    rows = _numbered(docs)
-    taken = mixing.mix(rows, row_col=ROW).filter("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("_copies"))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return rows.join(taken, ROW).withColumn("_time", times).select(*docs.columns)
+    rows, at = _numbered(docs)
+    taken = mixing.mix(rows, at["doc_id"], at["text"], at["source"], row_col=ROW).filter("copies > 0").select(ROW, "copies")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return rows.join(taken, ROW).withColumn("time", times).select(*at.values()).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents in fixed windows."""
-    return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER)).drop("row")
+    rows, at = _plain(docs)
+    return packing.pack(rows, public_tokenizers.path(packing.TOKENIZER), at["doc_id"], at["text"]).drop("row")
 
 
 STAGES = [
