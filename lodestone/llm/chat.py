@@ -23,10 +23,11 @@ the format inside a text are broken up.  An empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -150,10 +151,11 @@ def _stretches(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
 
 def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
                 chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """One row per turn: conv_id, turn, place, role, action, new_role, inserted, segment."""
+    """One row per turn: conv_id, turn, role, place (from 1 in its conversation), action, new_role, inserted, segment."""
     turns = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    turns = turns.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
+    turns = turns.withColumn("hash", F.xxhash64("text")).repartitionByRange("conv_id", "turn", "role", "hash")  # bounds are sampled, so no texts
+    turns = turns.sortWithinPartitions("conv_id", "turn", "role", "hash", "text").drop("hash")
     turns = turns.withColumn("place", F.monotonically_increasing_id())
     turns = turns.withColumn("chunk", F.shiftright("place", chunk_bits)).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     turns = common.keep(turns, "turns")
@@ -161,33 +163,34 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _stretches(batches, ("chunk", "conv")):
             m = compose([role_code(r["role"]) for r in own])
-            yield pa.RecordBatch.from_pydict({"conv": [own[0]["conv"]], "chunk": [own[0]["chunk"]], "matrix": [m.ravel().tolist()]})
+            yield pa.RecordBatch.from_pydict({"conv": [own[0]["conv"]], "chunk": [own[0]["chunk"]], "turns": [len(own)], "matrix": [m.ravel().tolist()]})
 
     matrices = turns.select("conv", "chunk", "place", "role").repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(
-        sums, "conv string, chunk long, matrix array<long>")
+        sums, "conv string, chunk long, turns long, matrix array<long>")
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _stretches(batches, ("conv",)):
             found = best_states([np.array(r["matrix"]).reshape(4, 4) for r in own], START, END)
             yield pa.RecordBatch.from_pydict({
                 "conv": [r["conv"] for r in own], "chunk": [r["chunk"] for r in own], "enters": pa.array([START, *found[:-1]], pa.int32()),
-                "leaves": pa.array(found, pa.int32()), "last": [i == len(own) - 1 for i in range(len(own))]})
+                "leaves": pa.array(found, pa.int32()), "before": pa.array([0, *accumulate(r["turns"] for r in own[:-1])], pa.int64()), "last": [i == len(own) - 1 for i in range(len(own))]})
 
     cuts = matrices.repartition("conv").sortWithinPartitions("conv", "chunk").mapInArrow(
-        states, "conv string, chunk long, enters int, leaves int, last boolean")
+        states, "conv string, chunk long, enters int, leaves int, before long, last boolean")
     cuts = common.keep(cuts, "turn-states")
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _stretches(batches, ("conv", "chunk")):
             first = own[0]
             found = list(repair([role_code(r["role"]) for r in own], [r["text"] for r in own], first["enters"], first["leaves"], first["last"]))
-            columns = {c: pa.array([r[c] for r in own], t) for c, t in (("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("role", pa.string()))}
+            columns = {c: pa.array([r[c] for r in own], t) for c, t in (("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()))}
+            columns["place"] = pa.array([first["before"] + 1 + i for i in range(len(own))], pa.int64())
             columns |= {c: pa.array([f[i] for f in found], pa.string()) for i, c in enumerate(("action", "new_role", "inserted", "segment"))}
             yield pa.RecordBatch.from_pydict(columns)
 
     ready = turns.join(cuts, ["conv", "chunk"]).sortWithinPartitions("conv", "chunk", "place")
-    return ready.select("conv", "chunk", "place", "conv_id", "turn", "role", "text", "enters", "leaves", "last").mapInArrow(
-        repaired, "conv_id long, turn long, place long, role string, action string, new_role string, inserted string, segment string")
+    return ready.select("conv", "chunk", "place", "conv_id", "turn", "role", "text", "enters", "leaves", "before", "last").mapInArrow(
+        repaired, "conv_id long, turn long, role string, place long, action string, new_role string, inserted string, segment string")
 
 
 def render(segments: DataFrame) -> DataFrame:
@@ -199,4 +202,4 @@ def render(segments: DataFrame) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired and rendered turns of every conversation."""
     found = format_chat(common.table(spark, sf_dir, "conversations"))
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("place")))
+    return found.select("conv_id", "turn", F.col("place").cast("int").alias("place"), "role", "action", "new_role", "inserted", "segment")

@@ -8,17 +8,22 @@ round reach the driver.
 A source whose target is q whole passes and a remainder takes every document q
 times, and once more the documents that come first in a seeded order until the
 remainder is used up; the document at the border goes in if that is the nearer
-choice.  The running sum is taken inside buckets of the order and offset by the
-sums of the buckets before, so no task holds a whole source.
+choice.  The running sum is taken in four steps, over groups of buckets of the order,
+buckets, slices of an id's rows, and rows, so no task holds a whole source, nor all
+rows of one id.
 
 Edge cases: null text has size 0; null is a source of its own, ranked last; a
+very long text goes in or stays out whole; extra columns are ignored, whatever their names; a
 source without words has target 0; rows that repeat a doc_id count separately; an
 empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,7 +32,9 @@ MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 42
 #: Rows that one bucket of a source's seeded order holds on average, at most.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 256
+#: Rows of one id are summed in slices of this many bits of their number.
+SLICE_BITS = 10
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -49,6 +56,11 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         "target", F.when(clamped, cap.cast("double")).otherwise(F.col("weight") * F.lit(rate)))
 
 
+def _ahead(by: list[str], order: list[str]) -> Column:
+    """The sizes of all rows before this one."""
+    return F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
         row_col: str | None = None) -> DataFrame:
@@ -70,17 +82,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     most = sources.agg(F.max("source_rows")).first()[0] or 0
-    digits = next(d for d in range(1, 7) if d == 6 or most <= BUCKET_ROWS * 16 ** d)
+    digits = next(d for d in range(1, 9) if d == 8 or most <= BUCKET_ROWS * 16 ** d)
     docs = docs.join(sources.drop("source_rows"), docs["source"].eqNullSafe(sources["source"])).drop("source")
-    docs = docs.withColumn("bucket", F.substring("seeded", 1, digits))
-    sums = docs.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size")
-    inside = Window.partitionBy("rank", "bucket").orderBy("seeded", "doc_id", "row").rowsBetween(
-        Window.unboundedPreceding, -1)
-    docs = docs.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    docs = docs.join(sums, ["rank", "bucket"])
-    extra = (F.col("base") + F.col("inner") + F.col("size") / 2 < F.col("rest")).cast("long")
+    # Running sums in four steps, so that no task holds a source, nor all rows of one id.
+    docs = docs.withColumn("high", F.substring("seeded", 1, (digits + 1) // 2)).withColumn("bucket", F.substring("seeded", 1, digits))
+    docs = docs.withColumn("slice", F.shiftright("row", SLICE_BITS))
+    levels = (["rank"], ["high"]), (["rank", "high"], ["bucket"]), (["rank", "bucket"], ["seeded", "doc_id", "slice"]), (["rank", "bucket", "seeded", "doc_id", "slice"], ["row"])
+    sums = [docs.groupBy("rank", "high").agg(F.sum("size").alias("size")), docs.groupBy("rank", "high", "bucket").agg(F.sum("size").alias("size")),
+            docs.groupBy("rank", "bucket", "seeded", "doc_id", "slice").agg(F.sum("size").alias("size")), docs]
+    sums = [s.withColumn(f"ahead{i}", _ahead(*by)) for i, (s, by) in enumerate(zip(sums, levels, strict=True))]
+    docs = sums[3]
+    for i, (by, order) in enumerate(levels[:3]):
+        other = sums[i].drop("size").withColumnsRenamed({c: f"{c}_" for c in by + order})
+        docs = docs.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by + order])).drop(*[f"{c}_" for c in by + order])
+    docs = docs.withColumn("ahead", F.col("ahead0") + F.col("ahead1") + F.col("ahead2") + F.col("ahead3"))
+    extra = (F.col("ahead") + F.col("size") / 2 < F.col("rest")).cast("long")
     return docs.select("row", "doc_id", "size", "source_size", "target",
                        (F.col("whole") + extra).alias("copies"),
                        (F.col("size") * (F.col("whole") + extra)).alias("taken"))

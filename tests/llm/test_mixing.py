@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -56,3 +57,23 @@ def test_empty_table_and_no_words(spark):
     assert mixing.mix(df).collect() == []
     found = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()
     assert [(r["target"], r["taken"]) for r in found] == [(0.0, 0)] * 2
+
+
+def test_one_id_holds_most_rows(spark, monkeypatch):
+    """Rows of one id, or of none, are split; the result is that of a plain running sum."""
+    monkeypatch.setattr(mixing, "SLICE_BITS", 2)
+    rng = random.Random(5)
+    rows = [(rng.choice([7, 7, None, i]), "w " * rng.randint(0, 30), rng.choice(["a", "a", "b", None]), i, "x") for i in range(900)]
+    rows.append((7, "word " * 200000, "a", 900, "x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long, bucket string")
+    got = mixing.mix(df, row_col="n").collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", None):
+        own = sorted((r for r in got if rows[r["row"]][2] == source), key=lambda r: (
+            hashlib.md5(f"42:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), r["doc_id"] is not None, r["doc_id"] or 0, r["row"]))
+        size = sum(r["size"] for r in own)
+        target, ahead = own[0]["target"], 0
+        whole = int(target // size)
+        for r in own:
+            assert r["copies"] == whole + (ahead + r["size"] / 2 < target - whole * size)
+            ahead += r["size"]
