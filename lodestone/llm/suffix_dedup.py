@@ -1,30 +1,35 @@
 """Suffix-array dedup: remove bytes covered by a long string that also starts elsewhere.
 
-Every window of ``length`` bytes is ruled by one anchor: the ``GRAM``-byte string in
-it with the least hash (the last of equals).  Equal windows have equal anchors at
-equal offsets, so only suffixes that start at anchors of equal content need to be
-brought together, about one in 170 bytes, and only anchors whose content occurs
-twice.  A record holds an anchor, the range of windows that it rules and their
-bytes.
-
-Records with one anchor content meet in one task.  Its shards are sorted by the
-bytes from the anchor on, each row keeping the bytes before it (what the Burrows-
-Wheeler transform keeps of a suffix).  Sorted shards are merged by refining their
-interleave eight bytes at a time: a class of rows equal so far is split by stable
-merging, rows alone in a class are left, and the split gives the common prefix of
-neighbours.  The same is done for the bytes before the anchor.  A window that
-starts l bytes before the anchor is repeated if its row shares both the class of
-length - l bytes after and the class of l bytes before with another row.
-
-Nothing is sorted whole and no pairs are formed.  Equal records are collapsed on
-the map side.  A content that still has too many unlike records (a passage that a
-third of all documents share) has its window ranges halved, and the halves are
-dealt again by the bytes that all windows of a half have in common; at one window
-the range is the window and equal records have all collapsed.  Whole texts that
-occur twice are settled by their digest and stand in once.
-
-Edge cases: null text is empty; texts shorter than ``length`` lose nothing; rows
-that repeat are copies of each other; an empty table gives an empty one.
+Windows of two lengths are judged at once: those of ``length`` bytes, which are removed,
+and shorter ones of ``short`` bytes, which tell passages of ``PASSAGE_WORDS`` words that
+repeat.  Every short window is ruled by one anchor: the ``GRAM``-byte string in it with
+the least hash (the last of equals); a long window by that of the short one that it
+starts with.  Equal windows have equal anchors at equal offsets, so only suffixes that
+start at anchors of equal content need to be brought together, about one in 90 bytes,
+and only anchors whose content occurs twice.  A record holds an anchor, the range of
+windows that it rules and their bytes.
+
+Equal records are told by a 128-bit BLAKE2 digest and settled by counting; only one of
+each kind, and only where an anchor has several kinds, takes its bytes along.  Records
+with one anchor content then meet in one task.  Its shards are sorted by the bytes from
+the anchor on, each row keeping the bytes before it (what the Burrows-Wheeler transform
+keeps of a suffix).  Sorted shards are merged by refining their interleave eight bytes
+at a time: a class of rows equal so far is split by stable merging, rows alone in a
+class are left, and the split gives the common prefix of neighbours.  The same is done
+for the bytes before the anchor.  A window that starts l bytes before the anchor is
+repeated if its row shares both the class of length - l bytes after and the class of
+l bytes before with another row.
+
+Nothing is sorted whole and no pairs are formed.  A content that has too many unlike
+records (a passage that a third of all documents share) has its window ranges halved,
+and the halves are dealt again by the bytes that all windows of a half have in common;
+at one window equal records have all collapsed.  Whole texts that occur twice are
+settled by their SHA-256 and stand in once.
+
+Edge cases: null text is empty; texts shorter than ``length`` lose nothing; a very long
+text is cut into records, none longer than twice ``length``; rows that repeat are copies
+of each other; extra columns are ignored, whatever their names; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -41,18 +46,21 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 400
+#: Windows in which passages are told, and how many words a passage has at least.
+SHORT = 240
+PASSAGE_WORDS = 51
 GRAM = 64
 #: Unlike records of one anchor content that meet in one task, at most.
 GROUP_ROWS = 10_000
 #: Records that a task merges at a time, at least.
 BUNDLE_ROWS = 20_000
 SHARD_ROWS = 4096
-#: Texts among which equal records are found before the shuffle.
-SLICE = 256
 #: Bytes of a text whose anchors are sought at a time.
 SPAN = 1 << 19
 LOW = (1 << 20) - 1
-RECORD = "key long, tid long, pos long, first long, last long, ctx binary"
+NAMES = ("key", "tid", "pos", "first", "last", "size", "h1", "h2")
+RECORD = ", ".join(f"{n} long" for n in NAMES)
+STARTS = "tid long, start long, end long, long boolean"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,7 +81,7 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return _mixed(h)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, length: int = SHORT, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(hash, pos, first, last): windows starting from first to last are ruled by pos."""
     width = length - gram + 1
     parts: list[tuple[np.ndarray, ...]] = []
@@ -133,13 +141,14 @@ def merged(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return refine(np.concatenate(shards), keys, words)
 
 
-def repeated(keys: np.ndarray, before: list[bytes], after: list[bytes], least: np.ndarray, most: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the least and the greatest offset l (or -1) of a window that another row has.
+def repeated(keys: np.ndarray, before: list[bytes], after: list[bytes], least: np.ndarray, most: np.ndarray, *lengths: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length and row, the least and the greatest offset l (or -1) of a window that another row has.
 
     ``before`` holds the bytes ahead of the anchor, nearest last; row i rules the
     windows that start l bytes ahead of the anchor for least <= l <= most.
     """
-    n, width = len(keys), -(-length // 8) * 8
+    n, width = len(keys), -(-max(lengths) // 8) * 8
+    room = np.array([len(a) for a in after])
     right = np.zeros((n, width), np.uint8)
     left = np.zeros((n, width), np.uint8)
     for i, (b, a) in enumerate(zip(before, after, strict=True)):
@@ -148,42 +157,69 @@ def repeated(keys: np.ndarray, before: list[bytes], after: list[bytes], least: n
     big = lambda m: m.view(">u8").astype(np.uint64)
     r_order, r_lcp = merged(keys, big(right))
     l_order, l_lcp = merged(keys, big(left))
-    low, high = np.full(n, -1), np.full(n, -1)
+    out = [(np.full(n, -1), np.full(n, -1)) for _ in lengths]
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for l in range(int(least.min()), int(most.max()) + 1):
-        here = np.nonzero((least <= l) & (l <= most))[0]
-        if len(here) < 2:
-            continue
-        r_class[r_order] = np.cumsum(r_lcp < length - l)
         l_class[l_order] = np.cumsum(l_lcp < l)
-        both = r_class[here] * (n + 1) + l_class[here]
-        by = np.argsort(both, kind="stable")
-        same = both[by][1:] == both[by][:-1]
-        hit = here[by[np.append(same, False) | np.append(False, same)]]
-        high[hit] = l
-        low[hit[low[hit] < 0]] = l
-    return low, high
+        for length, (low, high) in zip(lengths, out, strict=True):
+            here = np.nonzero((least <= l) & (l <= most) & (l + room >= length))[0]
+            if len(here) < 2:
+                continue
+            r_class[r_order] = np.cumsum(r_lcp < length - l)
+            both = r_class[here] * (n + 1) + l_class[here]
+            by = np.argsort(both, kind="stable")
+            same = both[by][1:] == both[by][:-1]
+            hit = here[by[np.append(same, False) | np.append(False, same)]]
+            high[hit] = l
+            low[hit[low[hit] < 0]] = l
+    return out
+
 
+def _row(key: int, tid: int, pos: int, first: int, last: int, ctx: bytes) -> tuple[int, ...]:
+    """A record without its bytes: their digest tells them, the anchor's place in them and how many windows it rules."""
+    digest = hashlib.blake2b(ctx + b"%d %d" % (pos - first, last - first), digest_size=16).digest()
+    return (key, tid, pos, first, last, len(ctx), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
 
-def _digest(ctx) -> list:
-    return [F.xxhash64(ctx).alias("h1"), F.xxhash64(F.lit(1), ctx).alias("h2")]
 
+def _batch(rows: list[tuple], ctx: list[bytes] | None = None) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(NAMES))]
+    return pa.RecordBatch.from_arrays(columns + ([pa.array(ctx, pa.binary())] if ctx is not None else []), [*NAMES, *(["ctx"] if ctx is not None else [])])
 
-def _collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans of records that occur twice, one record of each kind with the kinds of its key)."""
-    records = records.select("*", *_digest(F.col("ctx")))
+
+def _collapse(records: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(starts of records that occur twice, one record of each kind with the kinds of its key)."""
     kinds = records.groupBy("key", "h1", "h2").agg(F.count("*").alias("there"), F.min(F.struct("tid", "first")).alias("one"))
     kinds = common.keep(kinds, "record-kinds")
     sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("there").alias("most")).filter("kinds > 1 or most > 1")
-    kinds = kinds.join(sizes.drop("most"), "key").withColumnRenamed("key", "k").withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2")
+    kinds = common.keep(kinds.join(common.keep(sizes.drop("most"), "record-keys"), "key").withColumnsRenamed({"key": "k", "h1": "g1", "h2": "g2"}), "record-sizes")
     met = records.join(kinds, (F.col("key") == F.col("k")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    met = common.keep(met.select("key", "tid", "pos", "first", "last", "ctx", "there", "kinds", (F.struct("tid", "first") == F.col("one")).alias("stays")), "records")
-    spans = met.filter("there > 1").select("tid", F.col("first").alias("start"), F.col("last").alias("end"))
-    return spans, met.filter("stays and kinds > 1").select("key", "tid", "pos", "first", "last", "ctx", "kinds")
+    met = common.keep(met.withColumn("stays", F.struct("tid", "first") == F.col("one")).drop("k", "g1", "g2", "one"), "records")
+    twice = met.filter("there > 1")
+    whole = F.least("last", F.col("first") + F.col("size") - length)  # the last start of a long window
+    starts = twice.select("tid", F.col("first").alias("start"), F.col("last").alias("end"), F.lit(False).alias("long")).union(
+        twice.select("tid", F.col("first").alias("start"), whole.alias("end"), F.lit(True).alias("long")).filter("start <= end"))
+    return starts, met.filter("stays and kinds > 1").drop("stays", "there")
+
+
+def _with_bytes(records: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """``records`` (with ``kinds``) and their bytes, cut from the texts again."""
+    names = (*NAMES, "kinds")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, own in zip(b["text"], b["own"].to_pylist(), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                for at in range(0, len(own), 4096):
+                    part = own[at : at + 4096]
+                    columns = [pa.array([r[n] for r in part], pa.int64()) for n in names]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([data[r["first"] : r["last"] + length] for r in part], pa.binary())], [*names, "ctx"])
+
+    own = records.groupBy("tid").agg(F.collect_list(F.struct(*names)).alias("own"))  # those of one text
+    return texts.join(own, "tid").select("text", "own").mapInArrow(each, RECORD + ", kinds long, ctx binary")
 
 
-def _merge_groups(records: DataFrame, length: int) -> DataFrame:
-    """(tid, start, end): first and last start of repeated windows of each record."""
+def _merge_groups(records: DataFrame, length: int, short: int) -> DataFrame:
+    """(tid, start, end, long): first and last start of repeated windows of each record."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -204,16 +240,17 @@ def _merge_groups(records: DataFrame, length: int) -> DataFrame:
         tid, pos, first, last = (t[c].to_numpy() for c in ("tid", "pos", "first", "last"))
         ctx = t["ctx"].to_pylist()
         cut = (pos - first).tolist()
-        low, high = repeated(t["key"].to_numpy(), [c[:n] for c, n in zip(ctx, cut, strict=True)], [c[n:] for c, n in zip(ctx, cut, strict=True)], pos - last, pos - first, length)
-        hit = np.nonzero(high >= 0)[0]
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(tid[hit]), pa.array(pos[hit] - high[hit]), pa.array(pos[hit] - low[hit])], ["tid", "start", "end"])
+        sides = [c[:n] for c, n in zip(ctx, cut, strict=True)], [c[n:] for c, n in zip(ctx, cut, strict=True)]
+        both = repeated(t["key"].to_numpy(), *sides, pos - last, pos - first, length, short)
+        for is_long, (low, high) in zip((True, False), both, strict=True):
+            hit = np.nonzero(high >= 0)[0]
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(tid[hit]), pa.array(pos[hit] - high[hit]), pa.array(pos[hit] - low[hit]), pa.array(np.full(len(hit), is_long))], ["tid", "start", "end", "long"])
 
-    return records.select("key", "tid", "pos", "first", "last", "ctx").repartition("key").sortWithinPartitions("key").mapInArrow(
-        each, "tid long, start long, end long")
+    return records.select("key", "tid", "pos", "first", "last", "ctx").repartition("key").sortWithinPartitions("key").mapInArrow(each, STARTS)
 
 
-def _halve(records: DataFrame, length: int) -> DataFrame:
+def _halve(records: DataFrame, length: int, short: int) -> DataFrame:
     """Both halves of each record's window range, dealt by the bytes all windows of a half share.
 
     Halves are cut at offsets from the anchor, in the steps of a power of two, so equal
@@ -222,7 +259,7 @@ def _halve(records: DataFrame, length: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {c: [] for c in ("key", "tid", "pos", "first", "last", "ctx")}
+            rows, held = [], []
             for r in b.to_pylist():
                 near, far = r["pos"] - r["last"], r["pos"] - r["first"]  # offsets ruled
                 step = 1 << max(0, r["step"] - 1)
@@ -230,127 +267,145 @@ def _halve(records: DataFrame, length: int) -> DataFrame:
                     a, z = max(near, at), min(far, at + step - 1)
                     first, last = r["pos"] - z, r["pos"] - a
                     ctx = r["ctx"][first - r["first"] : last - r["first"] + length]
-                    core = r["ctx"][r["pos"] - at - r["first"] : r["pos"] - at - step + 1 - r["first"] + length]
+                    core = r["ctx"][max(0, r["pos"] - at - r["first"]) : max(0, r["pos"] - at - step + 1 - r["first"] + short)]
                     key = hashlib.blake2b(core + b"%d %d %d" % (r["key"], at, step), digest_size=8).digest()
-                    for c, v in zip(out, (int.from_bytes(key, "little", signed=True), r["tid"], r["pos"], first, last, ctx), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "ctx" else pa.int64()) for c, v in out.items()})
+                    rows.append(_row(int.from_bytes(key, "little", signed=True), r["tid"], r["pos"], first, last, ctx))
+                    held.append(ctx)
+            yield _batch(rows, held)
 
-    return records.mapInArrow(each, RECORD)
+    return records.mapInArrow(each, RECORD + ", ctx binary")
 
 
 def _records(texts: DataFrame, length: int) -> DataFrame:
-    """Records of the marked anchors of each text; equal ones of a few hundred texts stand in once."""
+    """Records of the marked anchors of each text, without their bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                rows = of(b.slice(at, SLICE))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
-    def of(b: pa.RecordBatch) -> list[list]:
-        seen: dict[tuple[int, int, bytes], int] = {}
-        rows: list[list] = []
-        for tid, text, marks in zip(b["tid"].to_pylist(), b["text"], b["marks"].to_pylist(), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
-            for m in marks:
-                ctx = data[m["first"] : m["last"] + length]
-                kind = (m["key"], m["pos"] - m["first"], ctx)
-                at = seen.get(kind)
-                if at is None:
-                    seen[kind] = len(rows)
-                    rows.append([m["key"], tid, m["pos"], m["first"], m["last"], ctx, False])
-                else:
-                    rows[at][6] = True
-                    rows.append([None, tid, m["pos"], m["first"], m["last"], None, True])
-        return rows
-
-    names = ["key", "tid", "pos", "first", "last", "ctx", "twice"]
-    kinds = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
-    return common.keep(texts.mapInArrow(each, RECORD + ", twice boolean"), "records-0")
-
-
-def repeated_starts(texts: DataFrame, length: int, group_rows: int) -> DataFrame:
-    """(tid, start, end): runs of window starts, of which the ends at least are repeated
+            rows: list[tuple] = []
+            for tid, text, marks in zip(b["tid"].to_pylist(), b["text"], b["marks"].to_pylist(), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                for m in marks:
+                    rows.append(_row(m["key"], tid, m["pos"], m["first"], m["last"], data[m["first"] : m["last"] + length]))
+                    if len(rows) >= 1 << 16:
+                        yield _batch(rows)
+                        rows = []
+            yield _batch(rows)
+
+    return common.keep(texts.mapInArrow(each, RECORD), "records-0")
+
+
+def repeated_starts(texts: DataFrame, length: int, short: int, group_rows: int) -> DataFrame:
+    """(tid, start, end, long): runs of window starts, of which the ends at least are repeated
     and share an anchor, from (tid, text, marks)."""
-    records = _records(texts, length)
-    spans = [records.filter("twice").select("tid", F.col("first").alias("start"), F.col("last").alias("end"))]
-    records, step = records.filter("key is not null").drop("twice"), (length - 1).bit_length()
+    starts, records = _collapse(_records(texts, length), length)
+    starts, records, step = [starts], common.keep(_with_bytes(records, texts, length), "record-bytes"), (short - 1).bit_length()
     while True:
-        known, records = _collapse(records)
-        spans.append(known)
-        spans.append(_merge_groups(records.filter(F.col("kinds") <= group_rows), length))
+        starts.append(_merge_groups(records.filter(F.col("kinds") <= group_rows), length, short))
         records = records.filter(F.col("kinds") > group_rows)
-        if step == 0 or records.isEmpty():
-            return reduce(DataFrame.union, spans)
-        records = common.keep(_halve(records.withColumn("step", F.lit(step)), length), "halves")
+        if records.isEmpty():
+            return reduce(DataFrame.union, starts)
+        if step == 0:  # one window each: unlike long ones, equal short ones
+            starts.append(records.select("tid", F.col("first").alias("start"), F.col("last").alias("end"), F.lit(False).alias("long")))
+            return reduce(DataFrame.union, starts)
+        known, records = _collapse(common.keep(_halve(records.withColumn("step", F.lit(step)), length, short), "halves"), length)
+        starts.append(known)
         step -= 1
 
 
-def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(sha, doc_id, n_bytes, marks): every anchor of every text."""
+def n_passages(data: bytes, runs: list[tuple[int, int]], words: int) -> int:
+    """How many of the [start, end) in ``runs`` hold so many whole words."""
+    found = 0
+    for s, e in runs:
+        part = data[s:e]
+        n = len(part.split())
+        n -= s > 0 and not data[s - 1 : s].isspace() and not part[:1].isspace()
+        n -= e < len(data) and not data[e : e + 1].isspace() and not part[-1:].isspace()
+        found += n >= words
+    return found
+
+
+def _marked(docs: DataFrame, short: int, gram: int) -> DataFrame:
+    """(sha, doc_id, n_bytes, n_words, marks): every anchor of every text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("key", "pos", "first", "last")]))
         for b in batches:
-            sizes, lists = [], []
+            sizes, lists, words = [], [], []
             for t in b["text"]:
-                data = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                whole = t.as_py().encode("utf-8", "surrogatepass")
+                data = np.frombuffer(whole, np.uint8)
                 sizes.append(len(data))
-                lists.append(list(map(tuple, zip(*(c.tolist() for c in anchors(data, length, gram)), strict=True))))
-            yield pa.RecordBatch.from_arrays([b["sha"], b["doc_id"], pa.array(sizes, pa.int64()), pa.array(lists, kind)], ["sha", "doc_id", "n_bytes", "marks"])
+                words.append(len(whole.split()))
+                lists.append(list(map(tuple, zip(*(c.tolist() for c in anchors(data, short, gram)), strict=True))))
+            yield pa.RecordBatch.from_arrays([b["sha"], b["doc_id"], pa.array(sizes, pa.int64()), pa.array(words, pa.int64()), pa.array(lists, kind)], ["sha", "doc_id", "n_bytes", "n_words", "marks"])
 
     return docs.select("sha", "doc_id", "text").mapInArrow(
-        each, "sha string, doc_id long, n_bytes long, marks array<struct<key:long,pos:long,first:long,last:long>>")
+        each, "sha string, doc_id long, n_bytes long, n_words long, marks array<struct<key:long,pos:long,first:long,last:long>>")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_bytes, spans (start, end), kept_sha256."""
+def _joined(runs: list[dict], length: int) -> list[tuple[int, int]]:
+    """[start, end) of the bytes under the windows of (start, end) runs of starts."""
+    own: list[tuple[int, int]] = []
+    for r in sorted(runs, key=lambda r: r["start"]):
+        end = r["end"] + length
+        if own and r["start"] <= own[-1][1]:
+            own[-1] = (own[-1][0], max(own[-1][1], end))
+        else:
+            own.append((r["start"], end))
+    return own
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS,
+          short: int | None = None, words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_bytes, spans (start, end), kept_sha256, n_passages.
+
+    ``n_passages`` counts the maximal runs of bytes under repeated strings of ``short``
+    bytes (the length, if that is less) that hold ``words`` whole words or more.
+    """
+    short = min(SHORT, length) if short is None else short
     docs = common.text_rows(df, id_col, text_col).select("doc_id", "text", F.sha2("text", 256).alias("sha"))
-    marked = common.keep(_marked(docs, length, gram), "anchors")
+    marked = common.keep(_marked(docs, short, gram), "anchors")
     copies = marked.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
-    copies = common.keep(copies, "texts")
-    single = marked.join(copies.select("sha", "one"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("sha", F.explode("marks").alias("m")).select("sha", "m.*")
-    single = common.keep(single.distinct(), "text-anchors")
+    copies = common.keep(copies.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    first = marked.join(copies, "sha").filter(F.col("doc_id").eqNullSafe(F.col("one")))
+    single = common.keep(first.select("tid", F.explode("marks").alias("m")).select("tid", "m.*").distinct(), "text-anchors")
     often = common.keep(single.groupBy("key").count().filter("count > 1").select("key"), "anchor-keys")  # plain, so that the join can be split
-    marks = single.join(often, "key").groupBy("sha").agg(F.collect_list(F.struct("key", "pos", "first", "last")).alias("marks"))
-    marks = marks.join(copies.select("sha", "one"), "sha").withColumnsRenamed({"sha": "s", "one": "o"})
-    texts = docs.join(marks, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("o"))).select("sha", "text", "marks")
-    texts = common.keep(texts.withColumn("tid", F.monotonically_increasing_id()), "marked-texts")
-    starts = repeated_starts(texts.select("tid", "text", "marks"), length, group_rows)
-    starts = starts.groupBy("tid").agg(F.collect_list(F.struct("start", (F.col("end") + length).alias("end"))).alias("runs"))
+    marks = single.join(often, "key").groupBy("tid").agg(F.collect_list(F.struct("key", "pos", "first", "last")).alias("marks"))
+    marks = marks.join(copies.select("tid", "sha", "one"), "tid").withColumnsRenamed({"sha": "s", "one": "o"})
+    texts = docs.join(marks, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("o"))).select("tid", "text", "marks")
+    texts = common.keep(texts, "marked-texts")  # rows that repeat stay: they do repeat each other
+    starts = repeated_starts(texts, length, short, group_rows)
+    starts = starts.groupBy("tid").agg(F.collect_list(F.struct("start", "end", "long")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            spans, shas = [], []
+            spans, shas, passages = [], [], []
             for text, runs in zip(b["text"], b["runs"].to_pylist(), strict=True):
-                data, own, kept, at = text.as_py().encode("utf-8", "surrogatepass"), [], hashlib.sha256(), 0
-                for r in sorted(runs, key=lambda r: r["start"]):
-                    if own and r["start"] <= own[-1][1]:
-                        own[-1] = (own[-1][0], max(own[-1][1], r["end"]))
-                    else:
-                        own.append((r["start"], r["end"]))
-                for s, e in own:
+                data, kept, at = text.as_py().encode("utf-8", "surrogatepass"), hashlib.sha256(), 0
+                spans.append(_joined([r for r in runs if r["long"]], length))
+                for s, e in spans[-1]:
                     kept.update(data[at:s])
                     at = e
                 kept.update(data[at:])
-                spans.append(own)
                 shas.append(kept.hexdigest())
-            yield pa.RecordBatch.from_arrays([b["sha"], pa.array(spans, kind), pa.array(shas)], ["sha", "spans", "kept"])
+                passages.append(n_passages(data, _joined([r for r in runs if not r["long"]], short), words))
+            yield pa.RecordBatch.from_arrays([b["tid"], pa.array(spans, kind), pa.array(shas), pa.array(passages, pa.int64())], ["tid", "spans", "kept", "passages"])
 
-    cuts = texts.join(starts, "tid").select("sha", "text", "runs").mapInArrow(cut, "sha string, spans array<struct<start:long,end:long>>, kept string").distinct()
-    facts = common.keep(copies.select("sha", "copies").join(cuts, "sha", "left"), "text-cuts")
+    cuts = texts.join(starts, "tid").select("tid", "text", "runs").mapInArrow(cut, "tid long, spans array<struct<start:long,end:long>>, kept string, passages long").dropDuplicates(["tid"])
+    facts = common.keep(copies.select("sha", "copies", "tid").join(cuts, "tid", "left").drop("tid"), "text-cuts")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     empty = F.array().cast("array<struct<start:long,end:long>>")
-    return marked.select("sha", "doc_id", "n_bytes").join(facts, "sha").select(
+    again = (F.col("copies") > 1) & (F.col("n_bytes") >= short) & (F.col("n_words") >= words)
+    return marked.select("sha", "doc_id", "n_bytes", "n_words").join(facts, "sha").select(
         "doc_id", "n_bytes", F.when(whole, all_of_it).otherwise(F.coalesce("spans", empty)).alias("spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(again, F.lit(1).cast("long")).otherwise(F.coalesce("passages", F.lit(0).cast("long"))).alias("n_passages"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeated strings of 400 bytes take away from every document."""
+    """What repeated strings of 400 bytes take away from every document, and how many long passages repeat in it."""
     found = dedup(common.table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passages")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -22,6 +23,37 @@ def brute(texts, length):
     return out
 
 
+def brute_passages(texts, length, words):
+    """Runs under repeated strings with so many whole words; a text that occurs twice has one if it has the words."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d) + 2, bool)
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = True
+        edge = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+        whole = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        found = sum(sum(s <= a and z <= e for a, z in whole) >= words for s, e in edge.tolist())
+        out.append(int(len(whole) >= words and len(d) >= length) if data.count(d) > 1 else found)
+    return out
+
+
+def test_passages_of_over_fifty_words_are_told(spark, tmp_path):
+    rng = random.Random(7)
+    new = lambda n: " ".join(f"{rng.choice('bdfglmn')}{rng.choice('aeiou')}{rng.choice('rst')}{rng.randrange(10)}" for _ in range(n))
+    rows = []
+    for i in range(20):
+        p = new(rng.randint(51, 70))  # most are shorter than 400 bytes
+        rows += [(2 * i, f"{new(30)} {p} {new(40)}"), (2 * i + 1, f"{new(10)} {p} {new(60)}")]
+    line = new(20)
+    rows += [(100 + i, f"{new(100)} {line} {new(100)}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_passages"] for r in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i] == 1 for i in range(40)) and not any(got[i] for i in range(100, 120))
+
+
 def digest(row):
     n = sum(s["end"] - s["start"] for s in row["spans"])
     return (row["n_bytes"], n, len(row["spans"]), row["kept_sha256"])
@@ -51,12 +83,15 @@ def test_production_length(spark, tmp_path):
 
 def test_small_length_with_many_halvings_and_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPAN", 128)
-    monkeypatch.setattr(suffix_dedup, "SLICE", 3)
     texts = texts_with_repeats(random.Random(2), 40)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     for group_rows in (1, 3, 1000):
-        got = {r["doc_id"]: digest(r) for r in suffix_dedup.dedup(df, length=40, gram=8, group_rows=group_rows).collect()}
-        assert [got[i] for i in range(len(texts))] == brute(texts, 40), group_rows
+        for short in (40, 24, 9):
+            rows = suffix_dedup.dedup(df, length=40, gram=8, group_rows=group_rows, short=short, words=3).collect()
+            got = {r["doc_id"]: digest(r) for r in rows}
+            assert [got[i] for i in range(len(texts))] == brute(texts, 40), (group_rows, short)
+            passages = {r["doc_id"]: r["n_passages"] for r in rows}
+            assert [passages[i] for i in range(len(texts))] == brute_passages(texts, short, 3), (group_rows, short)
 
 
 def test_merge_equals_sort(monkeypatch):
