@@ -79,3 +79,27 @@ def fuzzy_score(text: Column, query: str) -> Column:
         score = score + 1 + F.when(start, 2).otherwise(0) + F.when((at > 0) & (here == at + 1), 1).otherwise(0)
         at = here
     return F.when(found, score * 100 - F.length(text))
+
+
+def narration(answer: Column) -> Column:
+    """(title, summary) of a JSON object, or of one inside a JSON string; null unless both are texts with something in them."""
+    inner = F.when(answer.rlike(r'^\s*"'), F.from_json(F.concat(F.lit('{"v":'), answer, F.lit("}")), "v string")["v"]).otherwise(answer)
+    part = lambda name: F.trim(F.get_json_object(inner, f"$.{name}"))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(F.try_parse_json(inner), f"$.{name}", "variant"))
+    fits = (F.length(part("title")) > 0) & (F.length(part("summary")) > 0) & (kind("title") == "STRING") & (kind("summary") == "STRING")
+    return F.when(fits, F.struct(part("title").alias("title"), part("summary").alias("summary")))
+
+
+def clamp_words(text: Column, most: int) -> Column:
+    """White space folded, cut to ``most`` characters: at a space, if one is in the last quarter, with an ellipsis."""
+    folded = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.substring(folded, 1, most - 1)
+    head = F.regexp_extract(cut, r"^(.*) ", 1)
+    kept = F.when(F.length(head) * 4 >= most * 3, head).otherwise(F.rtrim(cut))
+    return F.when(F.length(folded) <= most, folded).otherwise(F.concat(kept, F.lit("…")))
+
+
+def source_links(value: Column) -> Column:
+    """JSON kept in a string: its value as JSON, else the string itself as JSON; null stays null."""
+    plain = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(value.isNotNull(), F.coalesce(F.try_parse_json(value).cast("string"), plain))

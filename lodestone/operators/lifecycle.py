@@ -58,8 +58,13 @@ def close_stale(candidates: DataFrame, scan_id: int, detectors: tuple[str, ...],
 
 
 def transition(candidates: DataFrame, commands: DataFrame, now: datetime | str, grace_days: int = 14) -> tuple[DataFrame, DataFrame]:
-    """(new state, outcomes) of commands (candidate_id, command); a row in another state is a conflict."""
-    own = commands.select("candidate_id", "command").dropDuplicates(["candidate_id"])
+    """(new state, outcomes) of commands (candidate_id, command, and seq if they come in an order).
+
+    A row in another state is a conflict.  Of several commands for a candidate the first
+    by ``seq`` counts, then by name.
+    """
+    turn = F.struct(*[c for c in ("seq", "command") if c in commands.columns])
+    own = commands.groupBy("candidate_id").agg(F.min_by("command", turn).alias("command"))
     rows = candidates.join(own, "candidate_id", "left")
     fits, after = F.lit(False), F.col("state")
     for name, (states, then) in TRANSITIONS.items():

@@ -102,3 +102,26 @@ def cluster_evidence(groups: DataFrame, titles: DataFrame, most: int = 12) -> Da
 def annotation_counts(annotations: DataFrame) -> DataFrame:
     """Subjects and generations by kind of subject."""
     return annotations.groupBy("subject_kind").agg(F.countDistinct("subject_key").alias("subjects"), F.count("*").alias("generations"))
+
+
+def upsert_pairs(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs (a, b, method, estimated, verified, cosine, same_connector) with a <= b; what ``new`` says goes first, what it leaves null stays."""
+    facts = ("estimated", "verified", "cosine", "same_connector")
+    side = lambda df, turn: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "method", *facts, F.lit(turn).alias("turn"))
+    rows = side(held, 0).union(side(new, 1))
+    said = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("turn", c))).alias(c) for c in facts]
+    return rows.groupBy("a", "b", "method").agg(*said)
+
+
+def set_groups(held: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """Memberships (document_id, method, group_key, group_size, is_keeper): one a document and method, the last of ``new`` by ``order``."""
+    facts = ("group_key", "group_size", "is_keeper")
+    rows = held.select("document_id", "method", *facts, F.lit(None).cast("long").alias("turn")).union(new.select("document_id", "method", *facts, F.col(order).cast("long").alias("turn")))
+    last = F.max_by(F.struct(*facts), F.struct(F.col("turn").isNotNull(), "turn", *facts)).alias("last")
+    return rows.groupBy("document_id", "method").agg(last).select("document_id", "method", "last.*")
+
+
+def unsigned(documents: DataFrame, signatures: DataFrame, config_hash: str, fingerprint: str = "content_hash") -> DataFrame:
+    """Documents without a signature of this configuration and their present content, which a scan has to sign."""
+    own = signatures.filter(F.col("config_hash") == config_hash).select(F.col("document_id").alias("id"), F.col("fingerprint").alias(fingerprint))
+    return documents.join(own, ["id", fingerprint], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, listing, streams
+from . import admin, curation, listing, streams
 
-QUERIES = {**listing.QUERIES, **curation.QUERIES, **streams.QUERIES}
-ORACLES = {**listing.ORACLES, **curation.ORACLES, **streams.ORACLES}
+QUERIES = {**listing.QUERIES, **curation.QUERIES, **streams.QUERIES, **admin.QUERIES}
+ORACLES = {**listing.ORACLES, **curation.ORACLES, **streams.ORACLES, **admin.ORACLES}

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out anew if it comes in fewer partitions with rows than there are cores.
 
-    Only an input of few files is looked at, and only a small one has few partitions,
-    so nothing large is ever shuffled for this.
+    A plan of many partitions is left alone without a look, so nothing large is ever
+    read or shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() > 8 * cores:
         return df
     parts = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
     return df.repartition(cores) if parts < cores else df
