@@ -11,8 +11,11 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints/lodestone"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``, else the test folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The shared folder named in ``spark.checkpoint.dir``, else the test folder, on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or LOCAL_SCRATCH
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
