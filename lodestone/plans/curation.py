@@ -16,6 +16,7 @@ from lodestone.operators import vectors as vec
 from lodestone.sources.spread import spread
 
 from . import model as m
+from . import near_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +100,8 @@ judged AS (
       WHEN g IN ('dup_lines', 'repeated_ngrams') THEN 'repetition' WHEN g = 'boilerplate_marker' THEN 'marker' ELSE 'line_shape' END)) AS families FROM gated),
 candidates AS (SELECT *, len(gates) >= 3 AND len(families) >= 2 AS is_candidate FROM judged)"""
 QUALITY = "WITH one AS (SELECT 1)" + MEASURES + NGRAMS + GATE_SQL
+SWEEP = "WITH one AS (SELECT 1)" + MEASURES + NGRAMS + GATE_SQL.replace("WHEN word_count >= 50 AND stopword_hits", "WHEN word_count >= stop_word_floor AND stopword_hits").replace(
+    "FROM measured)", "FROM measured, (SELECT unnest([50, 75, 100, 150])::INT AS stop_word_floor))")
 SHARES = ("mean_word_length", "symbol_word_ratio", "alpha_word_fraction", "bullet_line_fraction", "ellipsis_line_fraction", "punct_line_fraction", "short_line_fraction", "dup_line_fraction", "dup_line_char_fraction", "newline_word_ratio")
 
 
@@ -140,7 +143,7 @@ def gate_report(spark, d):
     return triage.gate_report(_evaluated(spark, d).withColumn("id", F.col("doc_id"))).withColumn("share", F.round("share", 6))
 
 
-@query("gate_sweep")
+@query("gate_sweep", SWEEP + " SELECT stop_word_floor, min_families::INT AS min_families, avg((len(gates) >= 3 AND len(families) >= min_families)::INT) AS flagged FROM judged, (SELECT unnest([2, 3]) AS min_families) GROUP BY ALL", bare=True)
 def gate_sweep(spark, d):
     return triage.gate_sweep(_measured(spark, d))
 
@@ -150,7 +153,23 @@ def gate_vs_labels(spark, d):
     return _evaluated(spark, d).join(m.table(spark, d, "labels"), "doc_id").groupBy("quality", "is_candidate").agg(F.count("*").alias("n"))
 
 
-@query("gate_explanations")
+EXPLAINED = """ SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN list_contains(gates, 'word_count_low') THEN word_count || ' words, fewer than 50' END, CASE WHEN list_contains(gates, 'word_count_high') THEN word_count || ' words, more than 100000' END,
+  CASE WHEN list_contains(gates, 'mean_word_length') THEN 'mean word length ' || round(mean_word_length, 2) || ', outside 3.0-10.0' END,
+  CASE WHEN list_contains(gates, 'symbol_ratio') THEN round(symbol_word_ratio, 2) || ' symbols a word, more than 0.1' END,
+  CASE WHEN list_contains(gates, 'bullet_lines') THEN round(bullet_line_fraction, 2) || ' of lines are bullets, more than 0.9' END,
+  CASE WHEN list_contains(gates, 'ellipsis_lines') THEN round(ellipsis_line_fraction, 2) || ' of lines end in an ellipsis, more than 0.3' END,
+  CASE WHEN list_contains(gates, 'alpha_words') THEN round(alpha_word_fraction, 2) || ' of words have a letter, fewer than 0.8' END,
+  CASE WHEN list_contains(gates, 'stopwords') THEN stopword_hits || ' of the stop words occur, fewer than 2' END,
+  CASE WHEN list_contains(gates, 'dup_lines') THEN round(dup_line_fraction, 2) || ' of lines repeat, more than 0.3' END,
+  CASE WHEN list_contains(gates, 'repeated_ngrams') THEN round(dup_5, 2) || ' of characters in repeated 5-grams, bound 0.15' END,
+  CASE WHEN list_contains(gates, 'unterminated_lines') THEN round(punct_line_fraction, 2) || ' of lines end in a mark, fewer than 0.12' END,
+  CASE WHEN list_contains(gates, 'short_lines') THEN round(short_line_fraction, 2) || ' of lines are short, more than 0.67' END,
+  CASE WHEN list_contains(gates, 'newline_ratio') THEN round(newline_word_ratio, 2) || ' line ends a word, more than 0.3' END,
+  CASE WHEN list_contains(gates, 'boilerplate_marker') THEN 'a boilerplate marker occurs: true' END], lambda x: x IS NOT NULL), '; ') AS why FROM candidates WHERE is_candidate"""
+
+
+@query("gate_explanations", QUALITY + EXPLAINED, bare=True)
 def gate_explanations(spark, d):
     return _evaluated(spark, d).filter("is_candidate").select("doc_id", F.array_join(tq.explain(), "; ").alias("why"))
 
@@ -189,7 +208,13 @@ def url_shape(spark, d):
     return m.pages(spark, d).select("page_id", url.path_depth(F.col("url")).alias("path_depth"), url.has_query(F.col("url")).alias("has_query"))
 
 
-@query("url_archive_edition")
+EDITIONS = r"""WITH cut AS (SELECT page_id, regexp_extract(trim(url), '^([^#]+?)://([^/#]*)(/[^?#]*)?', ['scheme', 'auth', 'path']) AS s FROM pages),
+editions AS (
+  SELECT page_id, s.scheme || '://' || lower(regexp_replace(regexp_replace(s.auth, '^.*@', ''), ':[^:]*$', '')) || s.path AS url FROM cut WHERE len(list_filter(string_split(s.path, '/'), lambda x: x <> '')) > 0)
+"""
+
+
+@query("url_archive_edition", EDITIONS + _KEY.replace("FROM pages)", "FROM editions)") + "SELECT page_id, canonical_url AS archive_of FROM pages LEFT JOIN keys USING (page_id)", bare=True)
 def url_archive(spark, d):
     edition = F.regexp_replace("url", r"^([^#]+?://[^/#]*)/", "$1/archives/spr2011/")
     return m.pages(spark, d).select("page_id", url.archive_edition_of(edition).alias("archive_of"))
@@ -230,33 +255,33 @@ def shingles_count(spark, d):
     return m.documents(spark, d, text=True).select("id", F.size(minhash.shingle_text(F.col("text"))).alias("n_shingles"))
 
 
-@query("minhash_signature")
+@query("minhash_signature", near_sql.SIGNATURE)
 def minhash_signature(spark, d):
     return _signed(spark, d).select("id", F.array_join("sig", ",").alias("sig"))
 
 
-@query("minhash_bands")
+@query("minhash_bands", near_sql.BANDED)
 def minhash_bands(spark, d):
     return _signed(spark, d).select("id", F.posexplode("bands").alias("band", "hash"))
 
 
-@query("near_dup_pairs")
+@query("near_dup_pairs", near_sql.NEAR_PAIRS)
 def near_dup_pairs(spark, d):
     return duplicates.near_pairs(_signed(spark, d))
 
 
-@query("verified_jaccard")
+@query("verified_jaccard", near_sql.VERIFIED)
 def verified_jaccard(spark, d):
     pairs = duplicates.near_pairs(_signed(spark, d))
     return duplicates.verify_pairs(pairs, m.documents(spark, d, text=True)).select("a", "b", F.round("verified", 6).alias("verified"))
 
 
-@query("max_similarity")
+@query("max_similarity", near_sql.STRONGEST)
 def max_similarity(spark, d):
     return duplicates.max_similarity(duplicates.near_pairs(_signed(spark, d)))
 
 
-@query("near_dup_reasons")
+@query("near_dup_reasons", near_sql.REASONS)
 def near_dup_reasons(spark, d):
     return duplicates.near_reasons(duplicates.near_pairs(_signed(spark, d)), m.documents(spark, d))
 
@@ -290,7 +315,9 @@ def stale_docs(spark, d):
     return detect.reasons(rows, detect.stale(m.NOW, days=30)).select("id")
 
 
-@query("asset_urls")
+@query("asset_urls", r"""SELECT id, chunk_count FROM (SELECT url || CASE WHEN page_id % 7 = 0 THEN '.png' ELSE '' END AS id, (page_id % 3)::INT AS chunk_count FROM pages)
+  WHERE chunk_count <= 1 AND lower(regexp_extract(regexp_extract(id, '^[^#]+?://[^/#]*(/[^?#]*)?', 1), '\.([^./]*)$', 1)) IN ('jpg','jpeg','png','gif','svg','webp','bmp','ico','tif','tiff','avif','heic',
+    'mp4','webm','mov','avi','mkv','mp3','wav','ogg','flac','m4a','m4v','wmv','zip','gz','tgz','bz2','xz','7z','rar','tar','iso','dmg')""", bare=True)
 def asset_urls(spark, d):
     p = m.pages(spark, d).select(F.concat("url", F.when(F.col("page_id") % 7 == 0, ".png").otherwise("")).alias("id"), (F.col("page_id") % 3).cast("int").alias("chunk_count"), F.lit(1).alias("connector_id"))
     return detect.reasons(p.withColumn("url_class", url.url_class(F.col("id"))), detect.asset_url()).select("id", "chunk_count")
@@ -312,7 +339,7 @@ def rule_preview(spark, d):
     return detect.preview(m.documents(spark, d), RULES[1]).select("matched", F.array_join("samples", ",").alias("samples"))
 
 
-@query("language_flags")
+@query("language_flags", near_sql.LANGUAGE)
 def language_flags(spark, d):
     docs = m.documents(spark, d, text=True)
     half = F.greatest(F.lit(1), (F.length("text") / 2).cast("int"))
@@ -367,17 +394,33 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
     return policy.prepare(p, duplicates.groups(docs, "content_hash", "hash"), pairs)
 
 
-def _register_simulation(tier: str, **bounds) -> None:
-    sql = PROFILE.format(**bounds) + "SELECT count(*) AS profiled, count(*) FILTER (auto) AS auto, count(*) FILTER (review AND NOT auto) AS review, count(*) FILTER (NOT review) AS untouched FROM banded"
+ASSET = "coalesce(url_class = 'image' AND coalesce(chunk_count, 0) <= 1, false)"
+#: Per tier: what is enough for auto, and what for review besides.
+TIERS = {
+    "conservative": (("in_hash_guarded", "chunk_count = 0", "max_jaccard >= 0.95 AND NOT crosses"), ("in_hash", ASSET, "max_jaccard >= 0.85", "max_cosine >= 0.97", "quality_fail_count >= 4 AND quality_families >= 3")),
+    "standard": (("in_hash_guarded", ASSET, "chunk_count = 0", "max_jaccard >= 0.9 AND NOT crosses"), ("in_hash", "max_jaccard >= 0.8", "max_cosine >= 0.93", "quality_fail_count >= 3 AND quality_families >= 2")),
+    "aggressive": (("in_hash_guarded", ASSET, "chunk_count = 0", "max_jaccard >= 0.85 AND NOT crosses", "max_cosine >= 0.97"),
+                   ("in_hash", "max_jaccard >= 0.75", "max_cosine >= 0.88", "quality_fail_count >= 2 AND quality_families >= 2", "centroid_pct <= 1.0")),
+}
+
+
+def _any_of(tests: tuple[str, ...]) -> str:
+    return " OR ".join(f"coalesce({t}, false)" for t in tests)
+
+
+def _register_simulation(tier: str) -> None:
+    auto, review = (_any_of(t) for t in TIERS[tier])
+    sql = STANDARD + f""", tiered AS (SELECT {auto} AS sure, {review} AS unsure FROM prepared)
+      SELECT count(*) AS profiled, count(*) FILTER (sure) AS auto, count(*) FILTER (unsure AND NOT sure) AS review, count(*) FILTER (NOT sure AND NOT unsure) AS untouched FROM tiered"""
 
-    @query(f"policy_simulate_{tier}", sql if tier == "standard" else None)
+    @query(f"policy_simulate_{tier}", sql)
     def run(spark, d):
         prepared = _prepared(spark, d)
         return policy.simulate(_profiles(spark, d), prepared, policy.PRESETS[tier])
 
 
-for _tier in ("conservative", "standard", "aggressive"):
-    _register_simulation(_tier, auto=0.9, review=0.8, cosine=0.93, failures=3, families=2)
+for _tier in TIERS:
+    _register_simulation(_tier)
 
 
 @query("policy_by_signal", STANDARD + """SELECT * FROM (
@@ -638,7 +681,7 @@ def prompt_sanitize(spark, d):
     return m.table(spark, d, "documents").select("doc_id", F.length(tx.sanitize(F.col("text"))).cast("long").alias("n"))
 
 
-@query("truncate_utf8")
+@query("truncate_utf8", "SELECT doc_id, list_max(list_filter(list_transform(range(0, 101), lambda i: strlen(substr(text, 1, i))), lambda b: b <= 100))::INT AS n_bytes FROM documents", bare=True)
 def truncate(spark, d):
     return m.table(spark, d, "documents").select("doc_id", F.octet_length(tx.truncate_utf8(F.col("text"), 100)).alias("n_bytes"))
 
@@ -666,7 +709,8 @@ def search_total(spark, d):
     return search.tracked_total(search.bm25(m.chunks(spark, d), "the was", "content"))
 
 
-@query("search_snippets")
+@query("search_snippets", r"""SELECT document_id, chunk_index, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f[1:2], lambda x: regexp_replace(x, '(?i)\b(the|was)\b', '<em>\1</em>', 'g')), ' … ') ELSE title END AS snippet
+  FROM (SELECT *, regexp_extract_all(content, '(?is).{0,80}\b(?:the|was)\b.{0,80}') AS f FROM chunk)""")
 def snippets(spark, d):
     c = m.chunks(spark, d)
     return c.select("document_id", "chunk_index", search.snippet(F.col("content"), "the was", F.col("title")).alias("snippet"))

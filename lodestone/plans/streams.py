@@ -49,6 +49,6 @@ def stream_dedup(spark, d):
     return ev.drain(ev.deduplicated(e.union(e), "event_id"), "append", scratch_dir(spark)).select("event_id")
 
 
-@query("stream_grace_timers")
+@query("stream_grace_timers", "SELECT user_id, min(ts) + INTERVAL 24 HOURS AS due_at FROM events WHERE event_type = 'error' GROUP BY user_id HAVING epoch_ms(min(ts)) + 86400000 < (SELECT epoch_ms(max(ts)) FROM events WHERE event_type = 'error')")
 def stream_grace(spark, d):
     return ev.drain(ev.grace_timers(_events(spark, d, None).filter("event_type = 'error'").select("user_id", "ts"), "user_id", "ts", 24), "append", scratch_dir(spark))
