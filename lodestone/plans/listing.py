@@ -226,9 +226,9 @@ def chunk_counts(spark, d):
     return ch.counts(m.chunks(spark, d), "title")
 
 
-@query("chunk_upsert", "SELECT document_id, chunk_index, CASE WHEN chunk_index = 0 THEN 'new' ELSE title END AS title FROM chunk WHERE chunk_index < 3")
+@query("chunk_upsert", "SELECT document_id, chunk_index, CASE WHEN chunk_index = 0 THEN 'new' ELSE title END AS title FROM chunk")
 def chunk_upsert(spark, d):
-    stored = m.chunks(spark, d).select("document_id", "chunk_index", "title").filter("chunk_index < 3")
+    stored = m.chunks(spark, d).select("document_id", "chunk_index", "title")
     return ch.upsert(stored, stored.filter("chunk_index = 0").withColumn("title", F.lit("new")))
 
 
