@@ -23,8 +23,8 @@ MASK = (1 << 64) - 1
 
 
 def shingle_text(text: Column, k: int = SHINGLE) -> Column:
-    """Lower-cased k-word shingles; fewer words make one shingle, none make none."""
-    trimmed = F.transform(words_of(text), lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$", ""))
+    """Lower-cased k-word shingles; fewer words make one shingle, none (or a null text) make none."""
+    trimmed = F.transform(words_of(F.coalesce(text, F.lit(""))), lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$", ""))
 
     def shingles(words: Column) -> Column:
         whole = F.array(F.lower(F.array_join(words, " ")))
