@@ -54,7 +54,9 @@ def coefficients(n: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fnv1a_many(items: list[str]) -> np.ndarray:
-    """FNV-1a of every string, all advanced a byte at a time together."""
+    """FNV-1a of every string, so many at a time advanced a byte together."""
+    if len(items) > 4096:  # bounds the byte matrix of a very long text
+        return np.concatenate([fnv1a_many(items[at : at + 4096]) for at in range(0, len(items), 4096)])
     raw = [x.encode() for x in items]
     sizes = np.array([len(r) for r in raw])
     h = np.full(len(raw), FNV_OFFSET, np.uint64)
