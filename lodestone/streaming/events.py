@@ -49,7 +49,11 @@ def timeline(events: DataFrame, ts: str = "ts", bucket: str = "1 hour", late: st
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "45 minutes", late: str = "1 day") -> DataFrame:
-    """Activity by key without a gap; what follows a session is a stall."""
+    """Activity by key without a gap; what follows a session is a stall.
+
+    Rows behind the watermark are left out, even where all sessions are shown; over files in no
+    order of time, read all of them in one batch, or set ``late`` to the span of the table.
+    """
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(
         key, F.col("w.start").alias("first"), F.col("w.end").alias("stalled_at"), "n")
 

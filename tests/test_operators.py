@@ -133,6 +133,7 @@ def test_streams_of_many_files_lose_no_late_rows(spark, tmp_path):
         part.rename(where / f"{n:02d}.parquet")
         os.utime(where / f"{n:02d}.parquet", (time.time() - 1000 + n,) * 2)
     assert sorted(r["event_id"] for r in streams.stream_dedup(spark, str(tmp_path)).collect()) == list(range(60))
+    assert sum(r["n"] for r in streams.stream_sessions(spark, str(tmp_path)).collect()) == 60
     # timers of the last day are not due when the input ends
     due = {r["user_id"] for r in streams.stream_grace(spark, str(tmp_path)).collect()}
     assert due >= set(range(6, 60)), sorted(set(range(6, 60)) - due)
