@@ -1,4 +1,4 @@
-"""Queries of the versioned tables: stream upserts, scans that go on, trash and restore in one commit."""
+"""Queries of the versioned tables: stream upserts, scans that go on, trash and restore in one commit, near links that are kept up; near clusters."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import duplicates, scan, trash
+from lodestone.operators import clusters, duplicates, lsh_store, scan, trash
 from lodestone.sources.scratch import scratch_dir
+from lodestone.sources.spread import spread
 from lodestone.sources.versions import Change, Tables
 from lodestone.streaming import events as ev
 from lodestone.streaming import merge
 
 from . import model as m
+from . import near_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,27 @@ def trash_committed(spark, d):
     tables, _ = _trashed(spark, d)
     size = lambda name, alias: tables.read(name).agg(F.count("*").alias(alias))
     return size("document", "documents").crossJoin(size("chunk", "chunks")).crossJoin(trash.totals(tables, m.NOW).select("items", "restored_total"))  # one row each
+
+
+@query("near_dup_clusters", m.PRELUDE.replace("WITH ", "WITH RECURSIVE ", 1) + near_sql.PAIRS + """
+, link AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(id, r) AS (SELECT id, id FROM signed UNION SELECT l.b, x.r FROM reach x JOIN link l ON l.a = x.id),
+own AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY id)
+SELECT s.id AS document_id, o.id AS representative, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM signed s JOIN one o ON o.sig = s.sig JOIN own ON own.id = s.id""", bare=True)
+def near_dup_clusters(spark, d):
+    return clusters.near_clusters(duplicates.signatures(spread(m.documents(spark, d, text=True))))
+
+
+@query("lsh_incremental_pairs", near_sql.PAIRS + "SELECT a, b, similarity FROM scored WHERE similarity >= 0.8")
+def lsh_incremental_pairs(spark, d):
+    """The documents in three batches: most of them, some with another's text; the rest, and strangers; then what was wrong is put right."""
+    docs = m.documents(spark, d, text=True).select("id", "text", "doc_id")
+    wrong = (F.col("doc_id") % 10 == 1).alias("wrong")
+    tables = _tables(spark)
+    lsh_store.create(tables)
+    own = docs.select("id", "text", wrong, (F.col("doc_id") % 3 == 2).alias("later"))
+    lsh_store.update(tables, own.filter("not later").select("id", F.when(F.col("wrong"), F.concat(F.lit("draft of "), "id")).otherwise(F.col("text")).alias("text")), batch=("documents", 1))
+    strangers = own.filter("wrong").select(F.concat("id", F.lit("/old")).alias("id"), "text")
+    lsh_store.update(tables, own.filter("later").select("id", "text").union(strangers), batch=("documents", 2))
+    lsh_store.update(tables, own.filter("wrong").select("id", "text"), strangers.select("id"), ("documents", 3))
+    return lsh_store.pairs(tables)
