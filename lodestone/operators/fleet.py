@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +61,17 @@ def resolve(fleet: DataFrame, references: DataFrame) -> DataFrame:
     """
     asked = references.select("reference", F.trim("reference").alias("needle")).withColumn("number", F.col("needle").try_cast("int"))
     own = fleet.select("cc_pair_id", "connector_id", "name")
-    step = (F.when(F.col("name") == F.col("needle"), 1).when(F.lower("name") == F.lower("needle"), 2).when(F.col("cc_pair_id") == F.col("number"), 3).when(F.col("connector_id") == F.col("number"), 4)
-            .when(F.col("number").isNull() & (F.col("needle") != "") & F.contains(F.lower("name"), F.lower("needle")), 5))
-    # References are what users type, a handful; connectors are few beside the documents.
-    met = asked.join(own, step.isNotNull(), "left").withColumn("step", step)
-    first = met.groupBy("reference").agg(F.min("step").alias("step"))
-    same = met.withColumnRenamed("step", "own").join(first.withColumnRenamed("reference", "asked"), (F.col("reference") == F.col("asked")) & F.col("own").eqNullSafe(F.col("step")))
-    rows = same.groupBy("reference", "step").agg(F.count("cc_pair_id").alias("n"), F.min("cc_pair_id").alias("least"), F.array_sort(F.collect_set("name")).alias("names"))
+    by = lambda df, step, same: df.join(own, same).select("reference", "cc_pair_id", "name", F.lit(step).alias("own"))
+    equal = [by(asked, 1, F.col("name") == F.col("needle")), by(asked, 2, F.lower("name") == F.lower("needle")),
+             by(asked, 3, F.col("cc_pair_id") == F.col("number")), by(asked, 4, F.col("connector_id") == F.col("number"))]
+    met = reduce(DataFrame.union, equal)
+    # Only what nothing equals is sought inside names, a pair at a time: what users type in part, a handful.
+    open_ = asked.join(met.select("reference").distinct(), "reference", "left_anti").filter("number is null and needle <> ''")
+    met = met.union(by(open_, 5, F.contains(F.lower("name"), F.lower("needle"))))
+    first = met.groupBy("reference").agg(F.min("own").alias("step"))
+    same = met.join(first, "reference").filter("own = step")
+    found = same.groupBy("reference", "step").agg(F.count("cc_pair_id").alias("n"), F.min("cc_pair_id").alias("least"), F.array_sort(F.collect_set("name")).alias("names"))
+    rows = asked.select("reference").distinct().join(found, "reference", "left")
     clear = (F.col("step") < 5) | (F.col("n") == 1)
     return rows.select("reference", F.when(clear, F.col("least")).alias("cc_pair_id"), F.when(F.col("step").isNull(), "not found").when(clear, "found").otherwise("ambiguous").alias("outcome"),
                        F.when(~clear, F.slice("names", 1, LISTED)).alias("listed"))

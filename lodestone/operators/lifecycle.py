@@ -80,6 +80,22 @@ def transition(candidates: DataFrame, commands: DataFrame, now: datetime | str,
     return changed.select(*candidates.columns), outcomes
 
 
+def visibility(candidates: DataFrame, documents: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, documents) after the commands of ``transition`` that were done.
+
+    Staging notes in ``prev_hidden`` whether the document was hidden and hides it; restoring
+    makes it what it was.  A document that is gone leaves ``prev_hidden`` as it was.
+    """
+    held = candidates if "prev_hidden" in candidates.columns else candidates.withColumn("prev_hidden", F.lit(None).cast("boolean"))
+    done = outcomes.filter("outcome = 'done'").select("candidate_id", "command").join(held.select("candidate_id", "document_id", "prev_hidden"), "candidate_id")
+    staged = done.filter("command = 'stage'").join(documents.select(F.col("id").alias("document_id"), F.coalesce("hidden", F.lit(False)).alias("_was")), "document_id")
+    noted = held.join(staged.select("candidate_id", "_was"), "candidate_id", "left").withColumn("prev_hidden", F.coalesce("_was", "prev_hidden")).drop("_was")
+    to = F.when(F.col("command") == "stage", F.lit(True)).when(F.col("command") == "restore", F.coalesce("prev_hidden", F.lit(False)))
+    shown = done.select("document_id", to.alias("_to")).filter("_to is not null").groupBy("document_id").agg(F.bool_or("_to").alias("_to"))
+    seen = documents.join(shown, F.col("id") == F.col("document_id"), "left").withColumn("hidden", F.coalesce("_to", "hidden"))
+    return noted, seen.select(*documents.columns)
+
+
 def due(candidates: DataFrame, now: datetime | str) -> DataFrame:
     return candidates.filter((F.col("state") == "staged") & (F.col("stage_expires_at") <= F.lit(now).cast("timestamp")))
 

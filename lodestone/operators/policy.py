@@ -168,6 +168,28 @@ def signals_per_document(prepared: DataFrame, p: Policy) -> DataFrame:
     return rows.filter(F.size("signals") > 0)
 
 
+#: Confidence of a candidate that a policy's band makes.
+BAND_CONFIDENCE = {"auto": 0.95, "review": 0.7}
+
+
+def commit(prepared: DataFrame, p: Policy, name: str, confirm_count: int, tier: str | None = None) -> DataFrame:
+    """(document_id, reasons) of a band's documents, for ``lifecycle.upsert``: one reason that names the signals and their bands.
+
+    Candidates are all that a policy makes; staging and deletion have checks of their own.
+    The band must hold as many documents as were confirmed, else nothing is made.
+    """
+    from .detect import reason
+    from .selection import confirmed
+
+    if name not in BAND_CONFIDENCE:
+        raise ValueError(f"unknown band {name!r}; expected auto or review")
+    rows = confirmed(members(prepared, p, name), confirm_count).join(signals_per_document(prepared, p), "document_id")
+    said = F.array_join(F.transform("signals", lambda s: F.regexp_replace(s, "^(.*):(.*)$", r"$1 ($2)")), ", ")
+    evidence = F.to_json(F.struct(F.lit(name).alias("band"), F.lit(tier).alias("tier"), F.transform("signals", lambda s: F.substring_index(s, ":", 1)).alias("signals")))
+    own = reason("policy", f"policy_{name}", F.concat(F.lit(f"matched the {name} policy on: "), said), BAND_CONFIDENCE[name], evidence)
+    return rows.select("document_id", F.array(own).alias("reasons"))
+
+
 def caveats(profiles: DataFrame, p: Policy) -> DataFrame:
     """What a simulation cannot see: (caveat, documents)."""
     counts = profiles.agg(F.count_if(F.col("quality_fail_count").isNull()).alias("no_quality"), F.count_if(F.col("max_jaccard").isNull()).alias("no_jaccard"), F.count_if(F.col("max_cosine").isNull()).alias("no_cosine"), F.count("*").alias("all"))

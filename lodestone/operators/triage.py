@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARE_COLUMNS = ("max_jaccard", "max_cosine", "centroid_similarity", "confidence")
@@ -91,13 +91,24 @@ def acceptance_plan(population: DataFrame, n: int) -> DataFrame:
 
 
 def gate_report(evaluated: DataFrame) -> DataFrame:
-    """(gate, n, share, examples): how often each gate trips, with the first three ids."""
+    """(gate, n, share, example): how often each gate trips, with the first id; ``gate_examples`` has more."""
     total = F.broadcast(evaluated.agg(F.count("*").alias("total")))  # one row
     rows = evaluated.select("id", F.explode("gates").alias("gate"))
     counted = rows.groupBy("gate").agg(F.count("*").alias("n"), F.min("id").alias("example"))
     return counted.join(total, how="cross").select("gate", "n", (F.col("n") / F.col("total")).alias("share"), "example").orderBy(F.col("n").desc(), "gate")
 
 
+def gate_examples(evaluated: DataFrame, most: int = 3) -> DataFrame:
+    """(gate, examples): the first ``most`` ids that trip each gate.
+
+    Each part of the ids names its own first ones, so a gate that most documents trip is no task's load.
+    """
+    rows = evaluated.select("id", F.explode("gates").alias("gate")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_n") <= most)
+    own = first(first(rows, "gate", "part"), "gate")
+    return own.groupBy("gate").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+
+
 def gate_sweep(measured: DataFrame, floors: tuple[int, ...] = (50, 75, 100, 150), least_families: tuple[int, ...] = (2, 3)) -> DataFrame:
     """(stop_word_floor, min_families, flagged share) over a grid of thresholds, in one pass."""
     from lodestone.functions.textquality import Gates, failures, families

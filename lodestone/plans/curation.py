@@ -143,6 +143,11 @@ def gate_report(spark, d):
     return triage.gate_report(_evaluated(spark, d).withColumn("id", F.col("doc_id"))).withColumn("share", F.round("share", 6))
 
 
+@query("gate_examples", QUALITY + " SELECT gate, array_to_string(list_sort(list(doc_id))[1:3], ',') AS examples FROM (SELECT doc_id, unnest(gates) AS gate FROM candidates) GROUP BY 1", bare=True)
+def gate_examples(spark, d):
+    return triage.gate_examples(_evaluated(spark, d).withColumn("id", F.col("doc_id"))).withColumn("examples", F.array_join("examples", ","))
+
+
 @query("gate_sweep", SWEEP + " SELECT stop_word_floor, min_families::INT AS min_families, avg((len(gates) >= 3 AND len(families) >= min_families)::INT) AS flagged FROM judged, (SELECT unnest([2, 3]) AS min_families) GROUP BY ALL", bare=True)
 def gate_sweep(spark, d):
     return triage.gate_sweep(_measured(spark, d))
@@ -456,6 +461,24 @@ def signals_per_doc(spark, d):
     return policy.signals_per_document(_prepared(spark, d), policy.PRESETS["standard"]).withColumn("signals", F.array_join("signals", ","))
 
 
+def _register_commit(band: str, test: str, confidence: float) -> None:
+    @query(f"policy_commit_{band}", "WITH s AS (" + ORACLES["signals_per_doc"] + "), b AS (" + STANDARD_WHOLE + f"SELECT document_id FROM banded WHERE {test})" + rf"""
+SELECT document_id, 'policy_{band}' AS code, {confidence}::DOUBLE AS confidence, 'matched the {band} policy on: ' || replace(regexp_replace(signals, '([a-z_]+):([a-z]+)', '\1 (\2)', 'g'), ',', ', ') AS detail
+FROM s JOIN b USING (document_id)""", bare=True)
+    def run(spark, d):
+        rows, p = _prepared(spark, d), policy.PRESETS["standard"]
+        hits = policy.commit(rows, p, band, policy.members(rows, p, band).count(), "standard")
+        empty = spark.createDataFrame([], "document_id string, state string, reasons array<struct<detector:string,code:string,detail:string,confidence:float,evidence:string>>")
+        made = lifecycle.upsert(empty, hits, empty.select("document_id")).filter("outcome = 'inserted'")
+        one = F.col("reasons")[0]
+        return made.select("document_id", one["code"].alias("code"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"), one["detail"].alias("detail"))
+
+
+STANDARD_WHOLE = m.PRELUDE + STANDARD
+_register_commit("auto", "auto", 0.95)
+_register_commit("review", "review AND NOT auto", 0.7)
+
+
 @query("policy_caveats", PROFILE.format(auto=0.9, review=0.8, cosine=0.93, failures=3, families=2) + "SELECT * FROM (SELECT 'quality was not measured' AS caveat, count(*) FILTER (quality_fail_count IS NULL) AS documents FROM profile UNION ALL SELECT 'no near-duplicate pair is on record', count(*) FILTER (max_jaccard IS NULL) FROM profile UNION ALL SELECT 'no embedding neighbour is on record', count(*) FILTER (max_cosine IS NULL) FROM profile) WHERE documents > 0")
 def policy_caveats(spark, d):
     return policy.caveats(_profiles(spark, d), policy.PRESETS["standard"])
@@ -589,6 +612,19 @@ def state_after(spark, d):
     return new.groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("staged_visibility", CANDIDATES + """, own AS (SELECT DISTINCT document_id FROM cand WHERE state = 'candidate')
+SELECT id, coalesce(hidden, FALSE) OR o.document_id IS NOT NULL AS staged, hidden AS restored FROM document d LEFT JOIN own o ON o.document_id = d.id""")
+def staged_visibility(spark, d):
+    """Documents hidden by staging their candidates, and shown as they were by restoring them."""
+    c, docs = _candidates(spark, d), m.documents(spark, d).select("id", "hidden")
+    asked = c.filter("state = 'candidate'").select("candidate_id", F.lit("stage").alias("command"))
+    after, outcomes = lifecycle.transition(c, asked, m.NOW)
+    noted, hidden = lifecycle.visibility(after, docs, outcomes)
+    _, undone = lifecycle.transition(noted, asked.select("candidate_id", F.lit("restore").alias("command")), m.NOW)
+    _, shown = lifecycle.visibility(noted, hidden, undone)
+    return hidden.withColumnRenamed("hidden", "staged").join(shown.withColumnRenamed("hidden", "restored"), "id")
+
+
 @query("reaper_plan", CANDIDATES + ", due AS (SELECT *, connector_id % 5 = 0 AS busy FROM cand WHERE state = 'staged' AND stage_expires_at <= TIMESTAMP '2024-01-31') SELECT candidate_id, CASE WHEN busy THEN 'deferred_busy' WHEN row_number() OVER (PARTITION BY busy ORDER BY stage_expires_at, candidate_id) <= 25 THEN 'delete' ELSE 'deferred_budget' END AS action FROM due")
 def reaper_plan(spark, d):
     busy = m.connectors(spark, d).filter("id % 5 = 0").select(F.col("id").alias("connector_id"))

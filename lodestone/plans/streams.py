@@ -38,6 +38,15 @@ def stream_trailing(spark, d):
     return ev.drain(ev.trailing(_events(spark, d)), "complete", scratch_dir(spark)).withColumn("until", F.unix_seconds("until"))
 
 
+@query("stream_error_window", """SELECT cc_pair_id, epoch(u)::BIGINT AS until, count(*) AS n FROM (
+  SELECT user_id % 20 + 101 AS cc_pair_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 24 HOURS, INTERVAL 1 HOUR)) AS u
+  FROM events WHERE event_type = 'error') GROUP BY ALL""")
+def stream_error_window(spark, d):
+    """Failures of each pair in the 24 hours up to every full hour; one batch, as files need not be in the order of time."""
+    errors = _events(spark, d, None).filter("event_type = 'error'").select((F.col("user_id") % 20 + 101).alias("cc_pair_id"), "ts")
+    return ev.drain(ev.trailing_by(errors, "cc_pair_id"), "complete", scratch_dir(spark)).withColumn("until", F.unix_seconds("until"))
+
+
 @query("stream_sessions", "SELECT user_id, floor(epoch(min(ts)))::BIGINT AS first, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 45 MINUTES THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, s")
 def stream_sessions(spark, d):
     e = _events(spark, d, None)  # one batch: a session's rows may be late by any time, and late rows are left out

@@ -68,6 +68,11 @@ def trailing(events: DataFrame, ts: str = "ts", length: str = "1 hour", step: st
     return events.withWatermark(ts, late).groupBy(F.window(ts, length, step)).agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "n")
 
 
+def trailing_by(events: DataFrame, key: str, ts: str = "ts", length: str = "24 hours", step: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """Counts by key over a sliding window: what failed in the last day, hour by hour."""
+    return events.withWatermark(ts, late).groupBy(key, F.window(ts, length, step)).agg(F.count("*").alias("n")).select(key, F.col("window.end").alias("until"), "n")
+
+
 def grace_timers(staged: DataFrame, key: str, ts: str, grace_hours: int) -> DataFrame:
     """(key, due_at) once a document's grace has passed in event time, by state with a timeout."""
     from pyspark.sql.streaming.state import GroupStateTimeout
