@@ -65,9 +65,13 @@ def resolve(fleet: DataFrame, references: DataFrame) -> DataFrame:
     equal = [by(asked, 1, F.col("name") == F.col("needle")), by(asked, 2, F.lower("name") == F.lower("needle")),
              by(asked, 3, F.col("cc_pair_id") == F.col("number")), by(asked, 4, F.col("connector_id") == F.col("number"))]
     met = reduce(DataFrame.union, equal)
-    # Only what nothing equals is sought inside names, a pair at a time: what users type in part, a handful.
-    open_ = asked.join(met.select("reference").distinct(), "reference", "left_anti").filter("number is null and needle <> ''")
-    met = met.union(by(open_, 5, F.contains(F.lower("name"), F.lower("needle"))))
+    # What nothing equals is sought inside names: they meet by the first three characters, then the whole is compared.
+    low = F.lower("name")
+    grams = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in (1, 2, 3)]))
+    inside = own.filter(F.length("name") > 0).select("cc_pair_id", "name", F.explode(F.array_distinct(F.flatten(grams))).alias("start"))
+    rest = asked.join(met.select("reference").distinct(), "reference", "left_anti").filter("number is null and needle <> ''").withColumn("start", F.substring(F.lower("needle"), 1, 3))
+    part = rest.join(inside, "start").filter(F.contains(low, F.lower("needle")))
+    met = met.union(part.select("reference", "cc_pair_id", "name", F.lit(5).alias("own")))
     first = met.groupBy("reference").agg(F.min("own").alias("step"))
     same = met.join(first, "reference").filter("own = step")
     found = same.groupBy("reference", "step").agg(F.count("cc_pair_id").alias("n"), F.min("cc_pair_id").alias("least"), F.array_sort(F.collect_set("name")).alias("names"))

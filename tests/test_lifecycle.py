@@ -46,4 +46,4 @@ def test_references_go_by_the_first_step_that_fits(spark):
     assert got == {"Docs": ("found", 1), "DOCS": ("found", 1), "y d": ("found", 3), "7": ("found", 4), "70": ("found", 7), "doc": ("ambiguous", None), "": ("not found", None),
                    "none": ("not found", None), " docs ": ("found", 2), "99": ("not found", None)}
     plan = fleet.resolve(own, spark.createDataFrame([("a",)], "reference string"))._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
