@@ -13,8 +13,8 @@ copies spreads over many tasks.  A cell yields a spanning forest of its links,
 never all pairs.
 
 Equal fingerprints are collapsed first, with a map-side combine.  Links join into
-components by alternating large-star and small-star steps over tables in the
-shared folder, each with grouped minima and joins only.
+components by alternating star steps over tables in the shared folder, each a grouped
+minimum that is written and a join of plain tables, which Spark splits at a hub.
 
 Edge cases: null text counts as empty; a document without words has fingerprint
 zero and is linked like any other; fewer words than a shingle give one shingle of
@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.components import components
+
 from . import common
 
 SHINGLE = 4
@@ -206,31 +208,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of (a, b) with the least node that it is linked to.
-
-    Alternates large-star and small-star until a round changes nothing; each step
-    is a grouped minimum joined back to the links.
-    """
-    def star(links: DataFrame, large: bool) -> DataFrame:
-        both = links.union(links.select("b", "a")) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        moved = both.join(low, "a")
-        if large:
-            return moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = low.filter("a <> m").select("a", F.col("m").alias("b"))
-        return moved.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(own)
-
-    links, before = common.keep(edges.filter("a <> b").select("a", "b"), "links"), None
-    while True:
-        links = common.keep(star(links, True).distinct(), "large-star")
-        links = common.keep(star(links, False).filter("a <> b").distinct(), "small-star")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-
-
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED,
                 radius: int = RADIUS, row_col: str | None = None) -> DataFrame:
     """One row per row of ``df``: row, doc_id, fp, component_id (least id), first (row that stays)."""
