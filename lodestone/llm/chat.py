@@ -17,7 +17,10 @@ turns.  A conversation that holds a third of all turns spreads over many tasks.
 Edge cases: unknown and null roles may become any role at the price of a relabel;
 null text is empty; null conv_id is a conversation of its own; turns are ordered by
 turn (nulls first), role and text, so repeated rows are repeated turns; markers of
-the format inside a text are broken up.  An empty table gives an empty one.
+the format inside a text are broken up.  A very long conversation is cut into chunks by
+turns; a very long turn stays whole, and a chunk's turns are held together, so its memory grows
+with their texts.  Extra columns are ignored, whatever their names.  An empty table gives an
+empty one.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ drawn again with another salt.  So names depend on contents, never on luck.
 
 Edge cases: null text counts as empty; the empty text has one empty block.  Rows
 that repeat a doc_id are separate members of their group, and one of them stays.
-Null ids sort last when the keeper is chosen.  An empty table gives an empty one.
+Null ids sort last when the keeper is chosen.  A very long text has as many blocks as it
+needs, and is compared whole.  Extra columns are ignored, whatever their names.  An empty
+table gives an empty one.
 """
 
 from __future__ import annotations

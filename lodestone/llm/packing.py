@@ -12,8 +12,9 @@ read them and offset by the counts of the partitions before; so a length that a
 third of all documents share is spread like any other.
 
 Edge cases: null text counts as empty and still has the closing id; rows that
-repeat a doc_id are packed separately; an empty table gives an empty one; only the
-last sequence may be padded.
+repeat a doc_id are packed separately; a very long text is tokenised whole and cut into
+pieces; extra columns are ignored, whatever their names; an empty table gives an empty one;
+only the last sequence may be padded.
 """
 
 from __future__ import annotations

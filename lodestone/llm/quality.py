@@ -12,7 +12,8 @@ reach the driver.
 
 Edge cases: null text counts as empty, and an empty text gets a bad vote; rows
 that repeat are scored alike; other columns pass through, except that a column
-named like an output is replaced; an empty table gives an empty one.
+named like an output is replaced; a very long text is measured whole, in one row's memory;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations

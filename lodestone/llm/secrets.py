@@ -14,7 +14,8 @@ matches of a document that has any are counted, and a running sum over them give
 the offsets in code points, end exclusive.
 
 Edge cases: null text counts as empty and has no spans; rows that repeat a doc_id
-are scanned separately; an empty table gives an empty one.
+are scanned separately; a very long text is scanned whole, and a match may have any length;
+extra columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ minimum that is written and a join of plain tables, which Spark splits at a hub.
 Edge cases: null text counts as empty; a document without words has fingerprint
 zero and is linked like any other; fewer words than a shingle give one shingle of
 them all.  Rows that repeat a doc_id each get a row; null ids never name a
-component unless all ids in it are null.  An empty table gives an empty one.
+component unless all ids in it are null.  A very long text is hashed whole, its bits counted in
+slices.  Extra columns are ignored, whatever their names.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
