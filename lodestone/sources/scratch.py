@@ -18,13 +18,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return named or LOCAL_SCRATCH
 
 
+#: Folders that this process has written, for ``forget``.
+_KEPT: list[str] = []
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This fixes generated ids, cuts lineage and survives the loss of executors:
-    the files belong to no executor.
+    the files belong to no executor.  They stay until ``forget``, as results read them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once the results that read them are written; how many went."""
+    gone = 0
+    while _KEPT:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        gone += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return gone

@@ -47,3 +47,13 @@ def test_references_go_by_the_first_step_that_fits(spark):
                    "none": ("not found", None), " docs ": ("found", 2), "99": ("not found", None)}
     plan = fleet.resolve(own, spark.createDataFrame([("a",)], "reference string"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_intermediate_tables_go_when_they_are_forgotten(spark, tmp_path):
+    from lodestone.sources import scratch
+
+    scratch.forget(spark)
+    one, two = scratch.keep(spark.range(5), "one"), scratch.keep(spark.range(7), "two")
+    one.write.parquet(f"{tmp_path}/result")
+    assert two.count() == 7 and scratch.forget(spark) == 2 and scratch.forget(spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/result").count() == 5
