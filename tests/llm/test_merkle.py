@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, tmp_path):
     rng = random.Random(2)
     rows = rows_of(rng, 700, ["en"] * 20 + ["de", None, "", "=", "é", "zz", "z"])
     rows += [(9000 + i, "a", "long", 1, "x") for i in range(17)] + [(9900, "a", "alone", 1, "x" * 300_000), (9901, None, "two", None, None), (9902, None, "two", None, None)]
-    rows += [rows[3]] * 9 + [(None, "a", "en", 1, "x"), (None, "b", "en", 1, "y"), (None, "a", "en", 1, "x"), (7, "q", "en", 3, "again")]
+    rows += [(5, "s", "en", i % 3, "one id holds many rows") for i in range(400)] + [rows[3]] * 9 + [(None, "a", "en", 1, "x"), (None, "b", "en", 1, "y"), (None, "a", "en", 1, "x"), (7, "q", "en", 3, "again")]
     rng.shuffle(rows)
     got = check(spark, rows, tmp_path)
     assert any(r["verified"] for r in got) and not all(r["verified"] for r in got)
@@ -73,12 +73,6 @@ def test_equals_brute_force(spark, tmp_path):
 def test_every_small_size(spark, tmp_path):
     sizes = [1, 2, 3, 4, 5, 15, 16, 17, 31, 33, 255, 257]
     rows = [(1000 * n + i, "s", f"l{n:03d}", i, "t") for n in sizes for i in range(n)]
-    check(spark, rows, tmp_path / "all")
-    check(spark, rows[:1], tmp_path / "one")
-
-
-def test_one_id_holds_most_rows(spark, tmp_path):
-    rows = [(5, "s", "en", i % 3, "same") for i in range(400)] + [(i, "s", "en", 1, "t") for i in range(100)]
     check(spark, rows, tmp_path)
 
 
