@@ -10,6 +10,14 @@ The sample is the ``SAMPLE`` documents with the least hash of id and text; its
 features and the training live in one task of bounded size, and only the weights
 reach the driver.
 
+Toxicity has a scorer of its own, fitted on labelled documents: pieces of words (whole
+words and their first six and four letters) that are far more frequent in toxic
+documents than in others are markers, and a document's score is the log-likelihood
+ratio of its words, those without a marker sharing one small negative weight.  So
+insults are learned in whatever language the labels cover, and a long text is not
+toxic for one chance hit.  A bounded sample a class is counted; the markers that
+reach the driver are bounded by it.
+
 Edge cases: null text counts as empty, and an empty text gets a bad vote; rows
 that repeat are scored alike; other columns pass through, except that a column
 named like an output is replaced; a very long text is measured whole, in one row's memory;
@@ -22,7 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import exp
+from math import exp, log2
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +61,14 @@ THREATS = (r"kill yourself", r"(?:i|we)(?: will|'ll| am going to| are going to)
            r"ich bringe dich um", r"je vais te tuer", r"te voy a matar")
 #: Insults in a text that make it toxic; a threat does alone.
 ABUSE = 2
+#: Labelled documents of a class, toxic or not, that the toxicity scorer counts, at most.
+TOXIC_SAMPLE = 3000
+#: A marker's least toxic documents, log-likelihood ratio and score of the two shares' difference.
+MARKER = (4, 3.0, 5.0)
+#: Least log-likelihood ratio of a toxic document.
+TOXIC_LEAST = 8.0
+#: Stands for every word without a marker.
+PLAIN = ""
 
 LABELLERS = ("content", "shouting", "separators", "stutter", "variety", "lines", "word_length", "sentences", "dominance", "symbols")
 
@@ -208,24 +224,124 @@ def fit(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[di
     return posterior, np.array(chosen.orderBy("_order").coalesce(1).mapInArrow(learn, "weights array<double>").first()[0])
 
 
-def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """``df`` with p_weak (posterior of its votes), p_quality (score) and keep."""
+def _pieces(word: str) -> Iterator[str]:
+    """A lower-case word, and its beginnings where it is longer."""
+    yield word
+    for k in (6, 4):
+        if len(word) > k:
+            yield word[:k] + "-"
+
+
+def _pieces_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per piece, and for ``PLAIN`` in all: documents and words (damped counts) of either class."""
+    found: dict[str, list[float]] = {}
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*found.values(), strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array(c, pa.float64()) for c in columns]], ["piece", "d0", "d1", "m0", "m1"])
+
+    for b in batches:
+        for text, y in zip(b["_text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+            own: Counter[str] = Counter()
+            for token, n in Counter(text.split()).items():
+                for word in LETTERS.findall(token.lower()):
+                    own[PLAIN] += log2(1 + n)
+                    for piece in _pieces(word):
+                        own[piece] += log2(1 + n)
+            own[PLAIN] += 0  # a document without words counts as one
+            for piece, mass in own.items():
+                row = found.setdefault(piece, [0.0] * 4)
+                row[y] += 1
+                row[2 + y] += mass
+            if len(found) > 300_000:
+                yield out()
+                found.clear()
+    yield out()
+
+
+def fit_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TOXIC_SAMPLE) -> dict[str, float]:
+    """Markers of toxicity with their log-likelihood ratios, and that of other words under ``PLAIN``.
+
+    ``labels`` has doc_id and toxic (0, 1 or null; of several the greatest counts).  Without labels
+    of both classes there are no markers.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    said = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter("toxic in (0, 1)")
+    hashed = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_order")).join(said, "_id")
+    hashed = common.keep(hashed.groupBy("_order").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    least = [hashed.filter(F.col("toxic") == y).orderBy("_order").limit(sample) for y in (0, 1)]
+    chosen = common.keep(df.select(F.xxhash64(text).alias("_order"), text.alias("_text")).join(F.broadcast(least[0].union(least[1])), "_order")  # 2 * sample rows
+                         .groupBy("_order", "toxic").agg(F.min("_text").alias("_text")).select("_text", "toxic"), "toxic-sample")
+    counted = common.keep(chosen.mapInArrow(_pieces_counted, "piece string, d0 double, d1 double, m0 double, m1 double").groupBy("piece").agg(
+        *[F.sum(c).alias(c) for c in ("d0", "d1", "m0", "m1")]), "toxic-pieces")
+    total = counted.filter(F.col("piece") == PLAIN).first()
+    if total is None or not all(total[c] for c in ("d0", "d1", "m0", "m1")):
+        return {}
+    n0, n1, all0, all1 = (total[c] for c in ("d0", "d1", "m0", "m1"))
+    seen, ratio, score = MARKER
+    share = (F.col("d0") + F.col("d1")) / (n0 + n1)
+    weight = F.log((F.col("m1") + 0.5 * all1 / (all0 + all1)) / all1) - F.log((F.col("m0") + 0.5 * all0 / (all0 + all1)) / all0)
+    apart = (F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(share * (1 - share + 1e-9) * (1 / n0 + 1 / n1))
+    found = counted.filter((F.col("piece") != PLAIN) & (F.col("d1") >= seen)).select("piece", weight.alias("weight"), apart.alias("apart"))
+    markers = {r["piece"]: r["weight"] for r in found.filter((F.col("weight") >= ratio) & (F.col("apart") >= score)).collect()}  # bounded by the sample
+
+    words = counted.filter((F.col("piece") != PLAIN) & ~F.col("piece").endswith("-"))
+    parts = F.array("piece", *[F.when(F.length("piece") > k, F.concat(F.substring("piece", 1, k), F.lit("-"))) for k in (6, 4)])
+    names = counted.sparkSession.createDataFrame([(sorted(markers),)], "markers array<string>")
+    hit = words.join(F.broadcast(names)).filter(F.arrays_overlap(F.array_compact(parts), "markers")).agg(  # one row
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("m0", "m1")]).first()
+    markers[PLAIN] = float(np.log((all1 - hit["m1"] + 1) / (all1 + 1)) - np.log((all0 - hit["m0"] + 1) / (all0 + 1)))
+    return markers
+
+
+class Toxicity:
+    """The log-likelihood ratio of a text's words, by markers."""
+
+    def __init__(self, markers: dict[str, float]):
+        self.markers, self.plain = {k: v for k, v in markers.items() if k != PLAIN}, markers.get(PLAIN, 0.0)
+        self.known: dict[str, float] = {}
+
+    def _token(self, token: str) -> float:
+        words = LETTERS.findall(token.lower())
+        return sum(max((self.markers[p] for p in _pieces(w) if p in self.markers), default=self.plain) for w in words)
+
+    def of(self, counts: Counter) -> float:
+        if not self.markers:
+            return 0.0
+        if len(self.known) > 200_000:
+            self.known.clear()
+        total = 0.0
+        for token, n in counts.items():
+            value = self.known.get(token)
+            if value is None:
+                value = self.known[token] = self._token(token)
+            total += value * log2(1 + n)
+        return total
+
+
+def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, markers: dict[str, float] | None = None) -> DataFrame:
+    """``df`` with p_weak (posterior of its votes), p_quality (score) and keep; with ``markers`` (of ``fit_toxic``) also toxicity."""
     posterior, weights = fit(df, text_col, sample)
     added = [("p_weak", T.DoubleType()), ("p_quality", T.DoubleType()), ("keep", T.BooleanType())]
+    if markers is not None:
+        added.append(("toxicity", T.DoubleType()))
     passed = [f for f in df.schema.fields if f.name.lower() not in {n for n, _ in added}]
     held = "text"
     while held in {f.name.lower() for f in passed}:
         held += "_"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, (*w, bias) = Features(), weights.tolist()
+        features, (*w, bias), toxicity = Features(), weights.tolist(), Toxicity(markers or {})
         for b in batches:
-            weak, p = [], []
+            weak, p, abuse = [], [], []
             for t in b[held]:
                 m = measures(t.as_py())
                 weak.append(posterior.get(votes(m), 0.5))
                 p.append(1 / (1 + exp(-max(-500.0, min(500.0, bias + sum(w[at] * x for at, x in features.sparse(m)))))))
+                abuse.append(toxicity.of(m["_counts"]))
             columns = [b[f.name] for f in passed] + [pa.array(weak), pa.array(p), pa.array([x >= threshold for x in p], pa.bool_())]
+            if markers is not None:
+                columns.append(pa.array(abuse, pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in passed] + [n for n, _ in added])
 
     schema = T.StructType(passed + [T.StructField(n, t) for n, t in added])

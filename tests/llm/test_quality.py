@@ -61,3 +61,36 @@ def test_edge_rows_pass_through(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert quality.classify(df).collect() == []
+
+
+def test_markers_of_toxicity_on_held_out_documents(spark):
+    """Invented insults in two made-up languages are learned from labels; one chance hit in a long text is not toxic."""
+    rng = random.Random(12)
+    vocab = {"a": [f"ka{i}lo" for i in range(200)], "b": [f"mi{i}ru" for i in range(200)]}
+    insult = {"a": "zuxeb", "b": "grawol"}
+
+    def doc(lang, bad, n):
+        words = rng.choices(vocab[lang], k=n)
+        for _ in range(bad):
+            words.insert(rng.randrange(n), insult[lang] + rng.choice(("en", "ista", "", "or")) + ",")
+        return " ".join(words)
+
+    plan = [(lang, bad) for lang in "ab" for bad in [0] * 180 + [3] * 40]
+    rows = [(i, doc(lang, bad, 60), int(bad > 0)) for i, (lang, bad) in enumerate(plan)]
+    rows += [(1000 + i, None, 0) for i in range(3)] + [(1100, "", None), (1100, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    markers = quality.fit_toxic(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert markers[quality.PLAIN] < 0 and {k[:4] for k in markers if k} == {"zuxe", "graw"}
+    fresh = [(i, doc("ab"[i % 2], 3 * (i % 4 > 1), 60), i % 4 > 1) for i in range(80)] + [(90, doc("a", 1, 3000), False), (91, None, False), (92, "", False)]
+    got = {r["doc_id"]: r["toxicity"] for r in quality.classify(spark.createDataFrame(fresh, "doc_id long, text string, bad boolean"), markers=markers).collect()}
+    assert all((got[i] >= quality.TOXIC_LEAST) == bad for i, _, bad in fresh), got
+    want = quality.Toxicity(markers)
+    assert all(abs(got[i] - want.of(quality.Counter((t or "").split()))) < 1e-9 for i, t, _ in fresh)
+
+
+def test_no_markers_without_labels_of_both_classes(spark):
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    for rows in ([], [(1, 0), (2, 0)], [(1, 1)], [(1, None)]):
+        assert quality.fit_toxic(df, spark.createDataFrame(rows, "doc_id long, toxic int")) == {}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert quality.fit_toxic(empty, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")) == {}
