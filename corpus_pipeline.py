@@ -9,6 +9,7 @@ a stage columns are named by their place, so extra columns of any name pass unch
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,24 @@ def _without(docs: DataFrame, rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(dropped.select(ROW), ROW, "left_anti").drop(ROW).toDF(*docs.columns)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The table ``labels``, if there is one: it is not required."""
+    try:
+        return spark.read.parquet(f"{sf_dir}/labels.parquet") if sf_dir else None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts and that are not toxic."""
+    """Documents that the classifier accepts and that are not toxic, by the markers that ``labels`` teach or by words."""
     rows, at = _plain(docs)
-    found = quality.classify(rows, at["text"])
-    return found.filter(F.col("keep") & ~quality.toxic(F.col(at["text"]))).select(*rows.columns).toDF(*docs.columns)
+    labels = _labels(spark, sf_dir)
+    markers = {} if labels is None else quality.fit_toxic(rows, labels, at["doc_id"], at["text"])
+    found = quality.classify(rows, at["text"], markers=markers)
+    clean = (F.col("toxicity") < quality.TOXIC_LEAST) & ~quality.toxic(F.col(at["text"]))
+    return found.filter(F.col("keep") & clean).select(*rows.columns).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
