@@ -18,8 +18,9 @@ Edge cases: unknown and null roles may become any role at the price of a relabel
 null text is empty; null conv_id is a conversation of its own; turns are ordered by
 turn (nulls first), role and text, so repeated rows are repeated turns; markers of
 the format inside a text are broken up.  A very long conversation is cut into chunks by
-turns; a very long turn stays whole, and a chunk's turns are held together, so its memory grows
-with their texts.  Extra columns are ignored, whatever their names.  An empty table gives an
+turns and by bytes; a very long turn stays whole, alone in its chunk if need be, so a task holds
+``CHUNK_BYTES`` of text or one turn.  Turns that are equal in all are dealt out by their place in the
+input, so they too spread over many tasks.  Extra columns are ignored, whatever their names.  An empty table gives an
 empty one.
 """
 
@@ -30,6 +31,8 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +43,10 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 ACTIONS = ("keep", "merge", "relabel", "merge_relabel")
 RELABEL, MERGE, INSERT = 2, 1, 3
-#: Turns in a chunk, at most.
+#: Turns in a chunk, at most, as a power of two.
 CHUNK_BITS = 15
+#: Bytes of text in a chunk of more than one turn, at most.
+CHUNK_BYTES = 32 << 20
 FAR = 1 << 40
 
 
@@ -152,15 +157,32 @@ def _stretches(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
         yield own
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], most: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Number the turns of a sorted partition, and cut them into chunks by turns and by bytes of text."""
+    first = TaskContext.get().partitionId() << 33
+    place = chunk = turns = held = 0
+    for b in batches:
+        chunks = []
+        for size in pc.binary_length(b["text"]).to_pylist():
+            if turns == most or (turns and held + size > limit):
+                chunk, turns, held = chunk + 1, 0, 0
+            turns, held = turns + 1, held + size
+            chunks.append(first + chunk)
+        places = np.arange(first + place, first + place + len(chunks))
+        place += len(chunks)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.int64()), pa.array(chunks, pa.int64())], [*b.schema.names, "place", "chunk"])
+
+
 def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-                chunk_bits: int = CHUNK_BITS) -> DataFrame:
+                chunk_bits: int = CHUNK_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per turn: conv_id, turn, role, place (from 1 in its conversation), action, new_role, inserted, segment."""
     turns = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    turns = turns.withColumn("hash", F.xxhash64("text")).repartitionByRange("conv_id", "turn", "role", "hash")  # bounds are sampled, so no texts
-    turns = turns.sortWithinPartitions("conv_id", "turn", "role", "hash", "text").drop("hash")
-    turns = turns.withColumn("place", F.monotonically_increasing_id())
-    turns = turns.withColumn("chunk", F.shiftright("place", chunk_bits)).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    # Bounds are sampled, so no texts; equal turns differ by their place in the input.
+    turns = turns.withColumn("hash", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id()).repartitionByRange("conv_id", "turn", "role", "hash", "copy")
+    turns = turns.sortWithinPartitions("conv_id", "turn", "role", "hash", "text").drop("hash", "copy").mapInArrow(
+        lambda batches: _chunks(batches, 1 << chunk_bits, chunk_bytes), "conv_id long, turn long, role string, text string, place long, chunk long")
+    turns = turns.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     turns = common.keep(turns, "turns")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,36 @@ def test_cheapest_and_legal_with_small_chunks(spark):
             assert legal("".join(r["segment"] for r in rows)), rows
 
 
+def test_chunks_are_bounded_by_bytes(spark):
+    """Turns of a megabyte in one conversation: few share a chunk, and the repair is the same."""
+    from pyspark.sql import functions as F
+
+    roles = ["user", "user", "assistant", "tool", "assistant", "system", "user"] * 2
+    df = spark.createDataFrame([(7, i, r) for i, r in enumerate(roles)] + [(8, 0, "user")] * 40, "conv_id long, turn long, role string")
+    df = df.withColumn("text", F.when(F.col("conv_id") == 7, F.expr("repeat('wörds ', 150000)")).otherwise(F.lit("same")))
+    small, large = (sorted((r["conv_id"], r["place"], r["action"], r["new_role"], r["inserted"], len(r["segment"])) for r in chat.format_chat(df, chunk_bytes=n).collect())
+                    for n in (2_200_000, 1 << 40))
+    assert small == large and [r[1] for r in small] == [*range(1, 15), *range(1, 41)]
+    assert cost_of([{"action": r[2], "inserted": r[4]} for r in small if r[0] == 7]) == brute_cost([chat.role_code(r) for r in roles])
+
+
+def test_chunk_numbers():
+    import pyarrow as pa
+
+    class Part:
+        partitionId = staticmethod(lambda: 2)  # noqa: N815
+
+    old, chat.TaskContext = chat.TaskContext, type("Context", (), {"get": staticmethod(lambda: Part)})
+    try:
+        texts = [["a" * 5, "b" * 5, "c" * 30], ["d", "e", "f", "g"]]
+        got = list(chat._chunks((pa.RecordBatch.from_pydict({"text": t}) for t in texts), 3, 10))
+    finally:
+        chat.TaskContext = old
+    base = 2 << 33
+    assert [c - base for b in got for c in b["chunk"].to_pylist()] == [0, 0, 1, 2, 2, 2, 3]
+    assert [c - base for b in got for c in b["place"].to_pylist()] == list(range(7))
+
+
 def test_kept_conversation_and_render(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
     assert chat.render(chat.format_chat(df)).first()["chat"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
