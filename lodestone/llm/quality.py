@@ -29,8 +29,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import exp, log2
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ THRESHOLD = 0.5
 ENDS = tuple(".!?:;\"')…”")
 SYMBOLS = re.compile(r"[#$%&*@^~<>{}\\=+_]")
 LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"(.)\1+")
 
 #: Words that insult, and phrases that threaten, in the corpus's four languages.
 INSULTS = (
@@ -138,28 +140,65 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def _shape(word: str) -> str:
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return re.sub(r"(.)\1+", r"\1", kinds)
+class Known(dict):
+    """Values by word, worked out when first asked for; it starts anew when it has grown large."""
+
+    def __init__(self, of: Callable, most: int = 200_000):
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, word):
+        value = self[word] = self.of(word)
+        return value
+
+    def dot(self, counts: Counter, damped: dict) -> float:
+        """Sum of value times damped count over the words of a text."""
+        if len(self) > self.most:
+            self.clear()
+        return sum(map(mul, map(self.__getitem__, counts), map(damped.__getitem__, counts.values())))
+
+
+def _log_count(n: int) -> float:
+    return log2(1 + n)
+
+
+def _kind(code: int) -> str:
+    c = chr(code)
+    return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+
+
+#: What each character counts as in a word's shape, and the bucket of a word of such characters, runs taken as one.
+KINDS = Known(_kind)
+SHAPES = Known(lambda kinds: _bucket("s " + RUNS.sub(r"\1", kinds)))
+
+
+def _word_buckets(word: str) -> tuple[int, int]:
+    """The buckets of a word and of its shape."""
+    if len(SHAPES) > SHAPES.most:
+        SHAPES.clear()
+    return _bucket("w " + word.lower()), SHAPES[word.translate(KINDS)]
 
 
 class Features:
     """Hashed features of a text: words, their shapes, and measures in steps."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = Known(_word_buckets)
 
     def sparse(self, m: dict[str, float]) -> Iterator[tuple[int, float]]:
         """(bucket, value) pairs; values of equal buckets add up."""
-        words, n = m["_counts"], max(1, m["n"])
-        if len(self.known) > 200_000:
+        n = max(1, m["n"])
+        if len(self.known) > self.known.most:
             self.known.clear()
-        for w, c in words.items():
-            at = self.known.get(w)
-            if at is None:
-                at = self.known[w] = (_bucket("w " + w.lower()), _bucket("s " + _shape(w)))
+        for w, c in m["_counts"].items():
+            at = self.known[w]
             yield at[0], 0.3 * c / n
             yield at[1], c / n
+        yield from self.steps(m)
+
+    @staticmethod
+    def steps(m: dict[str, float]) -> Iterator[tuple[int, float]]:
+        """The pairs of the measures."""
         for name, value in m.items():
             if name not in ("_counts", "n", "length"):
                 yield _bucket(f"m {name} {min(10, int(10 * value))}"), 0.5
@@ -173,6 +212,24 @@ class Features:
         return x
 
 
+class Scorer:
+    """A text's score by trained weights; what a word adds is looked up once."""
+
+    def __init__(self, weights: list[float]):
+        *self.weights, self.bias = weights
+        self.known = Known(self._word)
+        self.plain = Known(float)
+
+    def _word(self, word: str) -> float:
+        own, shape = _word_buckets(word)
+        return 0.3 * self.weights[own] + self.weights[shape]
+
+    def of(self, m: dict[str, float]) -> float:
+        words = self.known.dot(m["_counts"], self.plain) / max(1, m["n"])
+        z = self.bias + words + sum(self.weights[at] * x for at, x in Features.steps(m))
+        return 1 / (1 + exp(-max(-500.0, min(500.0, z))))
+
+
 def train(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Weights of a logistic scorer (the last is the bias), classes weighed alike, by Adam."""
     w = np.zeros(x.shape[1] + 1)
@@ -299,24 +356,23 @@ class Toxicity:
 
     def __init__(self, markers: dict[str, float]):
         self.markers, self.plain = {k: v for k, v in markers.items() if k != PLAIN}, markers.get(PLAIN, 0.0)
-        self.known: dict[str, float] = {}
+        self.heads = {p.removesuffix("-")[:3] for p in self.markers}
+        self.known, self.damped = Known(self._token), Known(_log_count)
 
     def _token(self, token: str) -> float:
-        words = LETTERS.findall(token.lower())
-        return sum(max((self.markers[p] for p in _pieces(w) if p in self.markers), default=self.plain) for w in words)
+        low = token.lower()
+        return sum(map(self._of_word, (low,) if low.isalpha() else LETTERS.findall(low)))
+
+    def _of_word(self, word: str) -> float:
+        """The greatest weight of its markers; a word has none if no marker begins like it."""
+        if word[:3] not in self.heads:
+            return self.plain
+        get, n = self.markers.get, len(word)
+        found = get(word), get(word[:6] + "-") if n > 6 else None, get(word[:4] + "-") if n > 4 else None
+        return self.plain if found == (None, None, None) else max(x for x in found if x is not None)
 
     def of(self, counts: Counter) -> float:
-        if not self.markers:
-            return 0.0
-        if len(self.known) > 200_000:
-            self.known.clear()
-        total = 0.0
-        for token, n in counts.items():
-            value = self.known.get(token)
-            if value is None:
-                value = self.known[token] = self._token(token)
-            total += value * log2(1 + n)
-        return total
+        return self.known.dot(counts, self.damped) if self.markers else 0.0
 
 
 def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, markers: dict[str, float] | None = None) -> DataFrame:
@@ -331,13 +387,13 @@ def classify(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
         held += "_"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, (*w, bias), toxicity = Features(), weights.tolist(), Toxicity(markers or {})
+        scorer, toxicity = Scorer(weights.tolist()), Toxicity(markers or {})
         for b in batches:
             weak, p, abuse = [], [], []
             for t in b[held]:
                 m = measures(t.as_py())
                 weak.append(posterior.get(votes(m), 0.5))
-                p.append(1 / (1 + exp(-max(-500.0, min(500.0, bias + sum(w[at] * x for at, x in features.sparse(m)))))))
+                p.append(scorer.of(m))
                 abuse.append(toxicity.of(m["_counts"]))
             columns = [b[f.name] for f in passed] + [pa.array(weak), pa.array(p), pa.array([x >= threshold for x in p], pa.bool_())]
             if markers is not None:
