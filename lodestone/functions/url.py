@@ -71,7 +71,7 @@ def _resolved(path: Column) -> Column:
 
 
 def _query(url: Column) -> Column:
-    pairs = F.filter(F.split(F.substring(_part(url, 4), 2, 1 << 20), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.regexp_replace(_part(url, 4), r"^\?", ""), "&"), lambda p: p != "")
     parted = F.transform(pairs, lambda p: F.struct(
         F.lower(F.substring_index(p, "=", 1)).alias("k"),
         F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v")))

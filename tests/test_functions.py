@@ -121,3 +121,10 @@ def test_half_floats(spark):
     v = [0.1, -2.5, 70000.0, 1e-8]
     got = spark.createDataFrame([(v,)], "v array<float>").select(vec.f16_unpack(vec.f16_pack(F.col("v"))).alias("r")).first()["r"]
     assert np.allclose(got, np.clip(np.array(v), -65504, 65504).astype(np.float16).astype(np.float32))
+
+
+def test_a_query_string_of_any_length_counts_whole(spark):
+    long = "http://a.org/p?" + "&".join(f"k{i:06d}=v" for i in range(150_000))
+    same, other, marked = one(spark, url.canonical_key, long), one(spark, url.canonical_key, long + "&z=1"), one(spark, url.canonical_key, long + "&utm_x=1")
+    assert same == long and other == long + "&z=1" and marked == long
+    assert one(spark, url.canonical_key, "http://a.org/p??b=1&a=2") == "http://a.org/p??b=1&a=2"
