@@ -18,18 +18,21 @@ def groups(documents: DataFrame, key: str, method: str, policy: str = "shortest_
     """Members of groups of two or more with equal ``key``: keeper, size, whether they span connectors.
 
     The keeper and the counts are grouped aggregates that combine before the shuffle,
-    so a key that many documents share is no single task's load.
+    so a key that many documents share is no single task's load.  Rows that repeat an id
+    are all members; one row of the keeper's id stays.
     """
-    rows = documents.filter(F.col(key).isNotNull())
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_ascending(policy))], F.col("id"))
+    rows = documents.filter(F.col(key).isNotNull()).groupBy(key, "id").agg(
+        F.min(order).alias("o"), F.count("*").alias("n"), F.count_if(F.col("connector_id").isNull()).alias("unknown"),
+        F.min("connector_id").alias("low"), F.max("connector_id").alias("high"))
     per = rows.groupBy(key).agg(
-        F.min(order).alias("first"), F.count("*").alias("group_size"), F.count_if(F.col("connector_id").isNull()).alias("unknown"),
-        F.min("connector_id").alias("low"), F.max("connector_id").alias("high")).filter("group_size > 1")
+        F.min("o").alias("first"), F.sum("n").alias("group_size"), F.sum("unknown").alias("unknown"), F.min("low").alias("low"), F.max("high").alias("high")).filter("group_size > 1")
     cross = (F.col("unknown") > 0) | (F.col("low") != F.col("high"))
     per = per.select(key, F.col("first.id").alias("keeper_id"), "group_size", cross.alias("cross_connector"))
-    return rows.select("id", key).join(per, key).select(
+    members = rows.select("id", key, "n").join(per, key).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return members.select(
         F.col("id").alias("document_id"), F.lit(method).alias("method"), F.col(key).alias("group_key"), "keeper_id",
-        (F.col("id") == F.col("keeper_id")).alias("is_keeper"), "group_size", "cross_connector")
+        ((F.col("id") == F.col("keeper_id")) & (F.col("at") == 1)).alias("is_keeper"), "group_size", "cross_connector")
 
 
 def _ascending(policy: str) -> list[Column]:

@@ -50,6 +50,12 @@ def test_groups_with_unknown_connector_count_as_crossing(spark):
     assert set(rows) == {"aaa", "b"} and rows["b"]["is_keeper"] and rows["aaa"]["cross_connector"]
 
 
+def test_of_rows_that_repeat_an_id_one_stays(spark):
+    df = spark.createDataFrame([("a", None, "h", 1), ("a", None, "h", 1), ("a", None, "h", 1), ("bb", None, "h", 1), ("c", None, "x", 1)], "id string, link string, content_hash string, connector_id int")
+    rows = sorted((r["document_id"], r["keeper_id"], r["is_keeper"], r["group_size"]) for r in duplicates.groups(df, "content_hash", "hash").collect())
+    assert rows == [("a", "a", False, 4), ("a", "a", False, 4), ("a", "a", True, 4), ("bb", "a", False, 4)]
+
+
 def test_lifecycle_round(spark):
     c = spark.createDataFrame([(1, "a", "candidate", None), (2, "b", "staged", None)], "candidate_id long, document_id string, state string, stage_expires_at timestamp")
     commands = spark.createDataFrame([(1, "stage"), (2, "stage")], "candidate_id long, command string")
