@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def _ascending(policy: str) -> list[Column]:
 
 def signatures(documents: DataFrame, text_col: str = "text", k: int = mh.SHINGLE) -> DataFrame:
     """(id, connector_id, sig, bands) of the documents that have words."""
-    df = documents.select("id", F.col("connector_id").cast("int").alias("connector_id"), mh.shingle_text(F.col(text_col), k).alias("shingles")).filter(F.size("shingles") > 0)
-    return df.mapInArrow(mh.sign, "id string, connector_id int, sig array<long>, bands array<long>")
+    df = documents.select("id", F.col("connector_id").cast("int").alias("connector_id"), mh.plain_words(F.col(text_col)).alias("words")).filter("words <> ''")
+    return df.mapInArrow(partial(mh.sign, k=k), "id string, connector_id int, sig array<long>, bands array<long>")
 
 
 def near_pairs(signed: DataFrame, least: float = STORE_SIMILARITY, bucket: int = PAIR_BUCKET) -> DataFrame:
@@ -62,7 +64,7 @@ def near_pairs(signed: DataFrame, least: float = STORE_SIMILARITY, bucket: int =
     ``bucket`` members a side, so all pairs are compared and no task holds a bucket.
     """
     keyed = keep(signed.withColumn("sig_key", F.xxhash64("sig")), "signatures")
-    firsts = keyed.groupBy("sig_key", "sig").agg(F.min_by(F.struct("id", "connector_id"), "id").alias("one"), F.first("bands").alias("bands"))
+    firsts = keep(keyed.groupBy("sig_key", "sig").agg(F.min_by(F.struct("id", "connector_id"), "id").alias("one"), F.first("bands").alias("bands")), "first-signatures")
     copies = keyed.select("sig_key", "sig", "id", "connector_id").join(firsts.select("sig_key", "sig", "one"), ["sig_key", "sig"]).filter(F.col("id") != F.col("one.id"))
     same = copies.select(F.col("one.id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), (F.col("one.connector_id") == F.col("connector_id")).alias("same_connector"))
 
@@ -82,16 +84,29 @@ def near_pairs(signed: DataFrame, least: float = STORE_SIMILARITY, bucket: int =
 
 
 def verify_pairs(pairs: DataFrame, documents: DataFrame, text_col: str = "text", k: int = mh.SHINGLE) -> DataFrame:
-    """Add ``verified``: the exact Jaccard similarity of the two shingle sets."""
-    s = documents.select("id", F.array_distinct(mh.shingle_text(F.col(text_col), k)).alias("s"))
-    side = lambda n: s.select(F.col("id").alias(n), F.col("s").alias(f"s_{n}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b")
-    return found.withColumn("verified", mh.verified_jaccard(F.col("s_a"), F.col("s_b"))).drop("s_a", "s_b")
+    """Add ``verified``: the exact Jaccard similarity of the two shingle sets.
+
+    Only texts of pairs are read as words.  Equal ones are told by their SHA-256; each two
+    unlike ones are compared once, however many documents hold them.
+    """
+    pairs = keep(pairs, "verify-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    words = documents.join(ids, "id", "left_semi").select("id", mh.plain_words(F.col(text_col)).alias("words"))
+    words = keep(words.withColumn("sha", F.sha2("words", 256)), "verify-words")
+    side = lambda n: words.select(F.col("id").alias(n), F.col("sha").alias(f"sha_{n}"), (F.col("words") != "").alias(f"some_{n}"))
+    found = keep(pairs.join(side("a"), "a").join(side("b"), "b"), "verify-sides")
+    texts = keep(words.groupBy("sha").agg(F.first("words").alias("words")), "verify-texts")
+    text = lambda n: texts.select(F.col("sha").alias(f"sha_{n}"), F.col("words").alias(f"words_{n}"))
+    unlike = found.filter("sha_a <> sha_b").select("sha_a", "sha_b").distinct().join(text("a"), "sha_a").join(text("b"), "sha_b")
+    shares = keep(unlike.mapInArrow(partial(mh.compare, k=k), "sha_a string, sha_b string, share double"), "verify-shares")
+    alike = F.when(F.col("sha_a") == F.col("sha_b"), F.col("some_a").cast("double")).otherwise(F.col("share"))
+    return found.join(shares, ["sha_a", "sha_b"], "left").withColumn("verified", alike).select(*pairs.columns, "verified")
 
 
 def max_similarity(pairs: DataFrame) -> DataFrame:
     """(document_id, max_jaccard, max_jaccard_doc): the strongest neighbour, of equals the least id."""
-    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
+    ends = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = pairs.select(F.explode(ends).alias("e"), "similarity").select("e.a", "e.b", "similarity")  # one pass, so that pairs are made once
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("b").alias("o"))).alias("best")
     return both.groupBy(F.col("a").alias("document_id")).agg(best).select("document_id", (-F.col("best.s")).alias("max_jaccard"), F.col("best.o").alias("max_jaccard_doc"))
 
