@@ -1,17 +1,19 @@
 """Web-text quality heuristics: measures, gates, families, explanations.
 
 Published heuristics (Gopher, C4, FineWeb): all but the n-gram measures are column
-expressions; those are one Arrow function over the words.  Gates compare 32-bit
+expressions over whole texts and lines; those are one Arrow pass over the words.  Gates compare 32-bit
 floats, so values at a threshold fall the same way for every caller.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from functools import reduce
+from itertools import count
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,53 +83,135 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text))
 
 
+def bare_text(text: Column) -> Column:
+    """``bare`` words of a text, a space between two (two spaces where one is empty)."""
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    marks = lambda c: F.reverse(F.regexp_replace(c, r" [^\p{IsAlphabetic}\p{N} ]++", " "))
+    whole = marks(F.concat(F.lit(" "), marks(flat)))  # backward for the marks at the ends of words
+    return F.lower(F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
 def ngram_measures(words: list[str]) -> dict[str, float]:
     """Character shares of the top 2-, 3-, 4-grams and of repeated 5- and 10-grams."""
-    sizes = [len(w) for w in words]
-    total = sum(sizes)
-    out = {}
-    for n in (2, 3, 4):
-        grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
-        best = max(((c, sum(len(w.encode()) for w in g) + n - 1, sum(map(len, g))) for g, c in grams.items()), default=(0, 0, 0))
-        out[f"top{n}"] = min(1.0, best[0] * best[2] / total) if total else 0.0
-    for n in (5, 10):
-        grams = list(zip(*(words[i:] for i in range(n)), strict=False))
-        counts = Counter(grams)
-        covered = [False] * len(words)
-        for i, g in enumerate(grams):
-            if counts[g] > 1:
-                covered[i : i + n] = [True] * n
-        out[f"dup{n}"] = sum(s for s, c in zip(sizes, covered, strict=True) if c) / total if total else 0.0
+    return dict(zip(NGRAM_SHARES, ngram_shares(words, [len(words)])[0].tolist(), strict=True))
+
+
+def ngram_shares(words: list[str], counts: list[int]) -> np.ndarray:
+    """``ngram_measures`` of texts whose words follow each other, ``counts`` to a text; a row each.
+
+    A gram is numbered within its text, from the numbers of its two parts, so that grams are in the order of texts.
+    """
+    n, texts = len(words), len(counts)
+    out = np.zeros((texts, len(NGRAM_SHARES)))
+    if not n:
+        return out
+    known: dict[str, int] = {}
+    word = np.fromiter(map(known.setdefault, words, count()), np.int64, n)  # where it first occurs
+    chars, octets = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for w, at in known.items():
+        chars[at], octets[at] = len(w), len(w.encode("utf-8", "surrogatepass"))
+    up_to = lambda sizes: np.concatenate([[0], np.cumsum(sizes[word])])
+    chars_to, octets_to = up_to(chars), up_to(octets)
+    ends = np.cumsum(counts)
+    text = np.repeat(np.arange(texts), counts)
+    left = ends[text] - np.arange(n)
+    total = np.maximum(chars_to[ends] - chars_to[ends - counts], 1)
+
+    def joined(x: np.ndarray, size: int, y: np.ndarray, more: int) -> tuple[np.ndarray, ...]:
+        """Starts of grams of ``size + more`` words, the number of each by start, first starts and counts by number."""
+        at = np.flatnonzero(left >= size + more)
+        _, first, own, often = np.unique(x[at] * n + y[at + size], return_index=True, return_inverse=True, return_counts=True)
+        numbers = np.zeros(n, np.int64)
+        numbers[at] = own
+        return at, numbers, at[first], often
+
+    def top(first: np.ndarray, often: np.ndarray, size: int) -> np.ndarray:
+        """Characters under each text's most frequent gram; of equals the one of most bytes, then of most characters."""
+        own = text[first]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        length = chars_to[first + size] - chars_to[first]
+        best = np.ones(len(first), bool)
+        for value in (often, octets_to[first + size] - octets_to[first], length):
+            most = np.maximum.reduceat(np.where(best, value, -1), starts)
+            best &= value == np.repeat(most, np.diff(starts, append=len(first)))
+        hit = np.zeros(texts, np.int64)
+        hit[own[best]] = (often * length)[best]
+        return hit
+
+    def repeated(at: np.ndarray, numbers: np.ndarray, often: np.ndarray, size: int) -> np.ndarray:
+        """Characters of each text's words under grams that occur more than once."""
+        again = at[often[numbers[at]] > 1]
+        edge = np.zeros(n + 1, np.int64)
+        edge[again] += 1
+        edge[again + size] -= 1
+        under = np.concatenate([[0], np.cumsum(np.where(np.cumsum(edge[:-1]) > 0, chars[word], 0))])
+        return under[ends] - under[ends - counts]
+
+    one = np.unique(text * n + word, return_inverse=True)[1]
+    found, numbers = {}, {1: one}
+    for size, more in ((1, 1), (2, 1), (2, 2), (4, 1), (5, 5)):
+        found[size + more] = at, numbers[size + more], _, _ = joined(numbers[size], size, numbers[more], more)
+    for i, size in enumerate((2, 3, 4)):
+        if len(found[size][0]):
+            out[:, i] = np.minimum(top(*found[size][2:], size) / total, 1.0)
+    for i, size in enumerate((5, 10), 3):
+        at, numbers_at, _, often = found[size]
+        if len(at):
+            out[:, i] = repeated(at, numbers_at, often, size) / total
     return out
 
 
-NGRAMS = T.StructType([T.StructField(k, T.DoubleType()) for k in ("top2", "top3", "top4", "dup5", "dup10")])
-
-
-@F.pandas_udf(NGRAMS)
-def ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for words in batches:
-        yield pd.DataFrame([ngram_measures(list(w)) for w in words], columns=NGRAMS.names)
+NGRAM_SHARES = ("top2", "top3", "top4", "dup5", "dup10")
+NGRAM_COLUMNS = [f"{k[:3]}_{k[3:]}gram_char_fraction" for k in NGRAM_SHARES]
+#: Words that are held at a time, unless one text has more.
+WORDS = 1 << 16
+
+
+def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-gram measures in place of ``_bare``; for mapInArrow."""
+    for b in batches:
+        rows: list[np.ndarray] = [np.empty((0, len(NGRAM_SHARES)))]
+        words: list[str] = []
+        counts: list[int] = []
+        for t in b["_bare"]:
+            own = t.as_py()
+            size = len(words)
+            words += own.split(" ") if own else []
+            counts.append(len(words) - size)
+            if len(words) >= WORDS:
+                rows.append(ngram_shares(words, counts))
+                words, counts = [], []
+        if counts:
+            rows.append(ngram_shares(words, counts))
+        shares = np.concatenate(rows)
+        kept = [c for c in b.schema.names if c != "_bare"]
+        yield pa.RecordBatch.from_arrays([b[c] for c in kept] + [pa.array(shares[:, i]) for i in range(shares.shape[1])], [*kept, *NGRAM_COLUMNS])
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the 19 measures of ``text_col``; shares are 0 where there is nothing to share."""
+    """The 19 measures of ``text_col`` in its place; shares are 0 where there is nothing to share.
+
+    The Arrow pass at the end lets no filter through, so each text is measured once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    df = df.withColumn("_text", text).withColumn("_words", words_of(text)).withColumn("_lines", lines)
-    df = df.withColumn("_bare", bare(F.col("_words")))
-    n, ln = F.size("_words"), F.greatest(F.size("_lines"), F.lit(1))
+    others = [c for c in df.columns if c != text_col]
+    df = df.select(*others, text.alias("_text"), lines.alias("_lines"), bare_text(text).alias("_bare"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("_flat"))
+    spaced = lambda c: F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+    df = df.withColumn("_n", spaced(F.col("_flat"))).withColumn("_letters", F.trim(F.regexp_replace(F.regexp_replace("_flat", r"[^\p{IsAlphabetic} ]++", ""), " {2,}", " ")))
+    n, ln = F.col("_n"), F.greatest(F.size("_lines"), F.lit(1))
     share = lambda top, bottom: F.when((n > 0) & (bottom > 0), top / bottom).otherwise(F.lit(0.0)).cast("double")
     chars = lambda a: F.aggregate(a, F.lit(0), lambda acc, w: acc + F.length(w))
     lines_like = lambda test: share(F.size(F.filter("_lines", test)), ln)
     symbols = F.regexp_count(F.col("_text"), F.lit("[#…]")) + F.regexp_count(F.col("_text"), F.lit(r"\.\.\."))
     distinct = F.array_distinct("_lines")
-    df = df.withColumns({
+    around = F.concat(F.lit(" "), F.col("_bare"), F.lit(" "))
+    df = df.select(*others, "_bare", *[c.alias(k) for k, c in {
         "word_count": n,
-        "mean_word_length": share(chars(F.col("_words")), n),
+        "mean_word_length": share(F.length("_flat") - n + 1, n),
         "symbol_word_ratio": share(symbols, n),
-        "alpha_word_fraction": share(F.size(F.filter("_words", lambda w: w.rlike(r"\p{IsAlphabetic}"))), n),
-        "stopword_hits": F.size(F.array_intersect(F.array(*[F.lit(w) for w in STOP_WORDS]), F.col("_bare"))),
+        "alpha_word_fraction": share(spaced(F.col("_letters")), n),
+        "stopword_hits": reduce(Column.__add__, [F.contains(around, F.lit(f" {w} ")).cast("int") for w in STOP_WORDS]),
         "bullet_line_fraction": lines_like(lambda x: x.rlike(BULLETS)),
         "ellipsis_line_fraction": lines_like(lambda x: x.endswith("...") | x.endswith("…")),
         "punct_line_fraction": lines_like(lambda x: x.rlike(CLOSING)),
@@ -136,10 +220,9 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         "dup_line_char_fraction": share(chars(F.col("_lines")) - chars(distinct), chars(F.col("_lines"))),
         "newline_word_ratio": share(F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))), n),
         "has_boilerplate_marker": F.lower(F.col("_text")).rlike("|".join(MARKERS)),
-        "_ngrams": ngrams(F.col("_bare")),
-    })
-    df = df.withColumns({f"top_{k}gram_char_fraction": F.col(f"_ngrams.top{k}") for k in (2, 3, 4)} | {f"dup_{k}gram_char_fraction": F.col(f"_ngrams.dup{k}") for k in (5, 10)})
-    return df.drop("_text", "_words", "_lines", "_bare", "_ngrams")
+    }.items()])
+    fields = [*df.drop("_bare").schema.fields, *(T.StructField(c, T.DoubleType()) for c in NGRAM_COLUMNS)]
+    return df.mapInArrow(add_ngrams, T.StructType(fields))
 
 
 def failures(g: Gates = Gates()) -> Column:
