@@ -92,10 +92,11 @@ def acceptance_plan(population: DataFrame, n: int) -> DataFrame:
 
 def gate_report(evaluated: DataFrame) -> DataFrame:
     """(gate, n, share, example): how often each gate trips, with the first id; ``gate_examples`` has more."""
-    total = F.broadcast(evaluated.agg(F.count("*").alias("total")))  # one row
-    rows = evaluated.select("id", F.explode("gates").alias("gate"))
+    rows = evaluated.select("id", F.explode(F.concat("gates", F.array(F.lit("")))).alias("gate"))  # "" once a row: texts are measured once
     counted = rows.groupBy("gate").agg(F.count("*").alias("n"), F.min("id").alias("example"))
-    return counted.join(total, how="cross").select("gate", "n", (F.col("n") / F.col("total")).alias("share"), "example").orderBy(F.col("n").desc(), "gate")
+    total = F.max(F.when(F.col("gate") == "", F.col("n"))).over(Window.partitionBy(F.lit(1)))  # a row a gate
+    shares = counted.withColumn("total", total).filter("gate <> ''")
+    return shares.select("gate", "n", (F.col("n") / F.col("total")).alias("share"), "example").orderBy(F.col("n").desc(), "gate")
 
 
 def gate_examples(evaluated: DataFrame, most: int = 3) -> DataFrame:
