@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textquality import bare, let, words_of
+from .textquality import bare_text, let
 
 # Common function words, and two-letter to three-letter codes.
 FUNCTION_WORDS = {
@@ -29,9 +29,11 @@ def detect(text: Column) -> Column:
     Confidence is the best language's share of the squared counts, so a clear lead counts.
     """
     def verdict(words: Column) -> Column:
+        # One filter leaves the function words, of which each language then counts its own.
+        every = sorted({w for own in FUNCTION_WORDS.values() for w in own})
         among = lambda own: lambda w: w.isin(*own)
-        sizes = F.array(*[F.size(F.filter(words, among(own))) for own in FUNCTION_WORDS.values()])
-        return let(sizes, scored)
+        sizes = lambda few: F.array(*[F.size(F.filter(few, among(own))) for own in FUNCTION_WORDS.values()])
+        return let(F.filter(words, among(every)), lambda few: let(sizes(few), scored))
 
     def scored(counts: Column) -> Column:
         best = F.array_max(counts)
@@ -39,16 +41,19 @@ def detect(text: Column) -> Column:
         sure = best * best / F.aggregate(counts, F.lit(0), lambda s, n: s + n * n)
         return F.when((best > 0) & (sure >= SURE), F.struct(code.alias("code"), sure.alias("confidence")))
 
-    return F.when(F.octet_length(F.trim(text)) >= FLOOR_BYTES, let(bare(words_of(F.trim(text))), verdict))
+    return F.when(F.octet_length(F.trim(text)) >= FLOOR_BYTES, let(F.split(bare_text(F.trim(text)), " "), verdict))
 
 
 def detect_document(chunks: Column) -> Column:
     """struct(code, confidence, mixed_with) of the first two chunks; mixed_with: another chunk's verdict."""
     first = F.slice(chunks, 1, 2)
-    found = detect(F.array_join(first, "\n"))
-    each = F.filter(F.array(detect(F.try_element_at(first, F.lit(1)))["code"], detect(F.try_element_at(first, F.lit(2)))["code"]), lambda c: c.isNotNull())
-    other = F.filter(each, lambda c: c != found["code"])
-    return F.when(found.isNotNull(), F.struct(found["code"].alias("code"), found["confidence"].alias("confidence"), F.try_element_at(other, F.lit(1)).alias("mixed_with")))
+    each = lambda: F.array(*[detect(F.try_element_at(first, F.lit(i)))["code"] for i in (1, 2)])
+
+    def told(found: Column) -> Column:
+        other = F.filter(each(), lambda c: c != found["code"])
+        return F.when(found.isNotNull(), F.struct(found["code"].alias("code"), found["confidence"].alias("confidence"), F.try_element_at(other, F.lit(1)).alias("mixed_with")))
+
+    return let(detect(F.array_join(first, "\n")), told)
 
 
 def allowed(code: Column, languages: tuple[str, ...]) -> Column:

@@ -13,6 +13,7 @@ from lodestone.functions import textquality as tq
 from lodestone.operators import detect, duplicates, lifecycle, policy, search, stores, triage
 from lodestone.operators import listing as ls
 from lodestone.operators import vectors as vec
+from lodestone.sources.scratch import keep
 from lodestone.sources.spread import spread
 
 from . import model as m
@@ -346,9 +347,10 @@ def rule_preview(spark, d):
 
 @query("language_flags", near_sql.LANGUAGE)
 def language_flags(spark, d):
-    docs = m.documents(spark, d, text=True)
+    docs = spread(m.documents(spark, d, text=True).select("id", "lang", "text"))
     half = F.greatest(F.lit(1), (F.length("text") / 2).cast("int"))
-    found = docs.withColumn("v", language.detect_document(F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")))))
+    verdict = language.detect_document(F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))))
+    found = keep(docs.select("id", "lang", verdict.alias("v")), "languages")  # so that no filter asks for a verdict again
     found = found.select("id", "lang", F.col("v.code").alias("lang_code"), F.col("v.confidence").alias("lang_confidence"), F.col("v.mixed_with").alias("mixed_with"))
     return detect.reasons(found, detect.lang_not_allowed(("en",))).select("id", "lang", "lang_code")
 
