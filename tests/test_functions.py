@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import language, minhash, text, url
 from lodestone.functions import textquality as tq
 from lodestone.operators import cursor as cu
+from lodestone.operators import langid
 from lodestone.operators import vectors as vec
 from lodestone.operators.policy import PRESETS, Policy
 from lodestone.sources import config
@@ -118,6 +119,19 @@ def test_language(spark):
     assert one(spark, language.detect, "too short") is None
 
 
+def test_trigram_ranks_are_by_count_then_by_trigram():
+    profiles = {"x": {"aaa": 1, "aab": 2, "baa": 3}, "y": {"baa": 1}}
+    for text in ("", "ab", "aaaabaa", " der hund und die katze ", "abcabcabd" * 20):
+        for ranks in (1, 5, 300):
+            assert langid.distances(text, profiles, ranks) == brute(text, profiles, ranks)
+
+
+def brute(text, profiles, ranks):
+    grams = [text[i : i + 3] for i in range(len(text) - 2)]
+    own = sorted(set(grams), key=lambda g: (-grams.count(g), g))[:ranks]
+    return sorted((sum(abs(p[g] - i) if g in p else ranks for i, g in enumerate(own, 1)), lang) for lang, p in profiles.items())
+
+
 def test_cursors_and_parsers():
     c = cu.Cursor("chunks_desc", None, "x")
     assert cu.Cursor.decode(c.encode(), "chunks_desc") == c
