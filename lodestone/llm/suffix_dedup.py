@@ -187,13 +187,16 @@ def _batch(rows: list[tuple], ctx: list[bytes] | None = None) -> pa.RecordBatch:
 
 
 def _collapse(records: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(starts of records that occur twice, one record of each kind with the kinds of its key)."""
+    """(starts of records that occur twice, one record of each kind with the kinds of its key); ``records``, a kept table, goes."""
     kinds = records.groupBy("key", "h1", "h2").agg(F.count("*").alias("there"), F.min(F.struct("tid", "first")).alias("one"))
     kinds = common.keep(kinds, "record-kinds")
     sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("there").alias("most")).filter("kinds > 1 or most > 1")
-    kinds = common.keep(kinds.join(common.keep(sizes.drop("most"), "record-keys"), "key").withColumnsRenamed({"key": "k", "h1": "g1", "h2": "g2"}), "record-sizes")
-    met = records.join(kinds, (F.col("key") == F.col("k")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    sizes = common.keep(sizes.drop("most"), "record-keys")
+    sized = common.keep(kinds.join(sizes, "key").withColumnsRenamed({"key": "k", "h1": "g1", "h2": "g2"}), "record-sizes")
+    common.release(kinds, sizes)
+    met = records.join(sized, (F.col("key") == F.col("k")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     met = common.keep(met.withColumn("stays", F.struct("tid", "first") == F.col("one")).drop("k", "g1", "g2", "one"), "records")
+    common.release(records, sized)
     twice = met.filter("there > 1")
     whole = F.least("last", F.col("first") + F.col("size") - length)  # the last start of a long window
     starts = twice.select("tid", F.col("first").alias("start"), F.col("last").alias("end"), F.lit(False).alias("long")).union(
@@ -364,16 +367,19 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """
     short = min(SHORT, length) if short is None else short
     docs = common.text_rows(df, id_col, text_col).select("doc_id", "text", F.sha2("text", 256).alias("sha"))
-    marked = common.keep(_marked(docs, short, gram), "anchors")
-    copies = marked.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
-    copies = common.keep(copies.withColumn("tid", F.monotonically_increasing_id()), "texts")
-    first = marked.join(copies, "sha").filter(F.col("doc_id").eqNullSafe(F.col("one")))
-    single = common.keep(first.select("tid", F.explode("marks").alias("m")).select("tid", "m.*").distinct(), "text-anchors")
+    anchored = common.keep(_marked(docs, short, gram).withColumn("row", F.monotonically_increasing_id()), "anchors")
+    copies = anchored.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("one"))
+    copies = common.keep(copies.select("sha", "copies", "one.*").withColumnRenamed("doc_id", "one").withColumn("tid", F.monotonically_increasing_id()), "texts")
+    single = anchored.join(copies.select("row", "tid"), "row")  # one row of each text, also where rows repeat
+    single = common.keep(single.select("tid", F.explode("marks").alias("m")).select("tid", "m.*"), "text-anchors")
+    marked = common.keep(anchored.select("sha", "doc_id", "n_bytes", "n_words"), "text-sizes")
+    common.release(anchored)
     often = common.keep(single.groupBy("key").count().filter("count > 1").select("key"), "anchor-keys")  # plain, so that the join can be split
     marks = single.join(often, "key").groupBy("tid").agg(F.collect_list(F.struct("key", "pos", "first", "last")).alias("marks"))
     marks = marks.join(copies.select("tid", "sha", "one"), "tid").withColumnsRenamed({"sha": "s", "one": "o"})
     texts = docs.join(marks, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("o"))).select("tid", "text", "marks")
     texts = common.keep(texts, "marked-texts")  # rows that repeat stay: they do repeat each other
+    common.release(single, often)
     starts = repeated_starts(texts, length, short, group_rows)
     starts = starts.groupBy("tid").agg(F.collect_list(F.struct("start", "end", "long")).alias("runs"))
 
@@ -398,7 +404,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     empty = F.array().cast("array<struct<start:long,end:long>>")
     again = (F.col("copies") > 1) & (F.col("n_bytes") >= short) & (F.col("n_words") >= words)
-    return marked.select("sha", "doc_id", "n_bytes", "n_words").join(facts, "sha").select(
+    return marked.join(facts, "sha").select(
         "doc_id", "n_bytes", F.when(whole, all_of_it).otherwise(F.coalesce("spans", empty)).alias("spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
         F.when(again, F.lit(1).cast("long")).otherwise(F.coalesce("passages", F.lit(0).cast("long"))).alias("n_passages"))

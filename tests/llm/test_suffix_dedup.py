@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from lodestone.llm import suffix_dedup
+from lodestone.sources import scratch
 
 
 def brute(texts, length):
@@ -115,3 +116,14 @@ def test_repeated_rows_nulls_and_empty(spark, tmp_path):
     assert got == sorted(brute([text, text, "z" * 399, None], 400))
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect() == []
+
+
+def test_dead_tables_are_freed(spark):
+    """Only tables that the result still reads stay on disk."""
+    scratch.forget(spark)
+    rng = random.Random(3)
+    found = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts_with_repeats(rng, 40))), "doc_id long, text string"), length=40, gram=8)
+    held = {p.rsplit("/", 1)[-1][:-33] for p in scratch._KEPT}
+    assert not held & {"anchors", "text-anchors", "anchor-keys", "records-0", "record-kinds", "record-sizes", "record-keys"}
+    assert found.count() == found.select("doc_id").distinct().count() > 0
+    scratch.forget(spark)
