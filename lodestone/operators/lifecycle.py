@@ -171,6 +171,13 @@ def capture(documents: DataFrame, tags: DataFrame, attribution: DataFrame, chunk
         "expires_at", at + F.make_dt_interval(F.lit(retention_days))).withColumn("hold", F.lit(False))
 
 
+def complete_ids(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id): the documents whose snapshot ``capture`` finds complete, without their chunks."""
+    n = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    rows = documents.select(F.col("id").alias("document_id"), "chunk_count").join(n, "document_id", "left")
+    return rows.filter(F.col("chunk_count").isNull() | (F.coalesce("n_chunks", F.lit(0)) >= F.col("chunk_count"))).select("document_id").distinct()
+
+
 def restore_plan(trash: DataFrame, documents: DataFrame, connectors: DataFrame, overwrite: bool = False) -> DataFrame:
     """Per snapshot: restore or refuse, with the connectors that are gone."""
     there = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("exists"))

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import keep
 from lodestone.sources.versions import Change, State, Tables, union
 
 from . import lifecycle, selection
@@ -36,12 +37,13 @@ def discard(tables: Tables, ids: DataFrame, now: datetime | str, retention_days:
     A document whose chunks were read short stays where it is; so does one that is not there.
     """
     state = tables.state()
-    ids = ids.select("document_id").distinct()
+    ids = keep(ids.select("document_id").distinct(), "trash-ids")
     hit = tables.touched(ids, "document_id")
     own = _own(tables, state, hit, ids)
+    # Which go is told by counts and written, so that no table's change gathers the chunks again.
+    gone = keep(lifecycle.complete_ids(own["document"], own["chunk"]), "trash-gone")
     whole = lifecycle.capture(own["document"], own["tag"], own["attribution"], own["chunk"], now, retention_days).filter("complete")
     whole = whole.withColumn("restored_at", F.lit(None).cast("timestamp"))
-    gone = whole.select("document_id")
     changes = {name: Change(df, [HELD[name]], hit) for name, df in lifecycle.cascade({n: (tables.read(n, hit, state), k) for n, k in HELD.items()}, gone).items()}
     held = [tables.read("trash", hit, state)] if "trash" in state.tables else []
     # A document that was discarded, came back and goes again has one snapshot, its latest.
@@ -57,7 +59,7 @@ def bring_back(tables: Tables, ids: DataFrame, connectors: DataFrame, known_tags
     longer known, and links to connectors that are gone, are left out and counted.
     """
     state = tables.state()
-    ids = ids.select("document_id").distinct()
+    ids = keep(ids.select("document_id").distinct(), "trash-ids")
     hit = tables.touched(ids, "document_id")
     trash = tables.read("trash", hit, state)
     waiting = trash.filter("restored_at is null").join(ids, "document_id", "left_semi")
@@ -73,8 +75,11 @@ def bring_back(tables: Tables, ids: DataFrame, connectors: DataFrame, known_tags
     of_table = lambda name: tables.read(name, hit, state)
     rows = {"document": selection.populate(back, of_table("document").schema), "tag": own_tags, "attribution": own_links, "chunk": chunks}
     goes = back.select("document_id")
-    kept = lifecycle.cascade({n: (of_table(n), k) for n, k in HELD.items()}, goes) if overwrite else {n: of_table(n) for n in HELD}
-    changes = {n: Change(kept[n].unionByName(rows[n], allowMissingColumns=True), [HELD[n]], hit) for n in HELD}
+    if overwrite:
+        kept = lifecycle.cascade({n: (of_table(n), k) for n, k in HELD.items()}, goes)
+        changes = {n: Change(kept[n].unionByName(rows[n], allowMissingColumns=True), [HELD[n]], hit) for n in HELD}
+    else:  # nothing is replaced: rows are added, in the tables' columns
+        changes = {n: Change(of_table(n).filter("false").unionByName(rows[n], allowMissingColumns=True), [HELD[n]], append=True) for n in HELD}
     restored = trash.join(goes.withColumn("_back", F.lit(True)), "document_id", "left")
     restored = restored.withColumn("restored_at", F.when(F.col("_back"), F.lit(now).cast("timestamp")).otherwise(F.col("restored_at"))).drop("_back")
     changes["trash"] = Change(restored, ["document_id"], hit)

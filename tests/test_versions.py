@@ -140,3 +140,21 @@ def test_trash_is_all_or_nothing_and_counts_what_is_gone(spark, tables, monkeypa
     again = trash.bring_back(tables, asked, spark.createDataFrame([(1,), (2,)], "id int"), tags, "2024-01-03", overwrite=True)
     assert {r["document_id"]: r["outcome"] for r in again.collect()} == {"d0": "not_found", "d1": "not_found", "d2": "restored", "d5": "not_found", "none": "not_found"}
     assert tables.read("document").filter("id = 'd2'").count() == 1 and tables.read("chunk").filter("document_id = 'd2'").count() == 2
+
+
+def test_bringing_back_adds_rows_and_rewrites_none(spark, tables):
+    docs = spark.createDataFrame([(f"d{i}", 1, i) for i in range(4)], "id string, chunk_count int, boost int")
+    tags = spark.createDataFrame([(f"d{i}", "k", "v") for i in range(4)], "document_id string, tag_key string, tag_value string")
+    links = spark.createDataFrame([(f"d{i}", 1, None) for i in range(4)], "id string, connector_id int, credential_id int")
+    chunks = spark.createDataFrame([(f"d{i}", 0, f"text {i}") for i in range(4)], "document_id string, chunk_index int, content string")
+    trash.create(tables, docs, tags, links, chunks)
+    asked = spark.createDataFrame([("d1",), ("d2",)], "document_id string")
+    trash.discard(tables, asked, "2024-01-01")
+    before = tables.state().tables
+    trash.bring_back(tables, asked, spark.createDataFrame([(1,)], "id int"), tags, "2024-01-02")
+    after = tables.state().tables
+    for name, df in (("document", docs), ("tag", tags), ("attribution", links), ("chunk", chunks)):
+        for bucket, parts in before[name]["parts"].items():
+            assert set(parts) <= set(after[name]["parts"][bucket])
+        assert after[name]["schema"] == before[name]["schema"]
+        assert sorted(map(str, tables.read(name).select(*df.columns).collect())) == sorted(map(str, df.collect()))
